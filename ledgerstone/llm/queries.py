@@ -22,11 +22,23 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerstone.llm.substring_dedup import dedup
+
+    return dedup(_table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerstone.llm.suffix_dedup import dedup
+
+    return dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerstone.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op6_sharding": op6_sharding, "op10_packing": op10_packing}
+QUERIES = {"op5_substring_dedup": op5_substring_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op6_sharding": op6_sharding, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
