@@ -150,16 +150,16 @@ def segments(symbols: np.ndarray, counts: np.ndarray, window: int, k: int, longe
 
 
 def dump(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes; whole numbers in the narrowest unsigned type of 1, 2, 4, 5 or 8 bytes that holds them."""
+    """Arrays as bytes; whole numbers in the narrowest unsigned type of 1, 2, 4, 5, 6 or 8 bytes that holds them."""
     out = [np.uint8(len(arrays)).tobytes()]
     for a in arrays:
         if a.dtype == np.int64 and len(a) and a.min() < 0:
             code, body = 9, a.tobytes()
         else:
             top = int(a.max()) if len(a) else 0
-            code = next(c for c in (1, 2, 4, 5, 8) if top < 1 << 8 * c)
-            if code == 5:
-                body = a.astype(np.uint32).tobytes() + (a.astype(U) >> U(32)).astype(np.uint8).tobytes()
+            code = next(c for c in (1, 2, 4, 5, 6, 8) if top < 1 << 8 * c)
+            if code in (5, 6):
+                body = a.astype(np.uint32).tobytes() + (a.astype(U) >> U(32)).astype(f"u{code - 4}").tobytes()
             else:
                 body = a.astype(f"u{code}").tobytes()
         out += [np.uint8(code).tobytes(), np.uint32(len(a)).tobytes(), body]
@@ -175,10 +175,10 @@ def load(blob: bytes) -> list[np.ndarray]:
         if code == 9:
             out.append(np.frombuffer(blob, np.int64, n, at))
             at += 8 * n
-        elif code == 5:
-            low, high = np.frombuffer(blob, np.uint32, n, at), np.frombuffer(blob, np.uint8, n, at + 4 * n)
+        elif code in (5, 6):
+            low, high = np.frombuffer(blob, np.uint32, n, at), np.frombuffer(blob, f"u{code - 4}", n, at + 4 * n)
             out.append(low.astype(U) | high.astype(U) << U(32))
-            at += 5 * n
+            at += code * n
         else:
             out.append(np.frombuffer(blob, f"u{code}", n, at).astype(U))
             at += code * n
