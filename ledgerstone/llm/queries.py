@@ -34,6 +34,12 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerstone.llm.ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerstone.llm.suffix_dedup import dedup
 
@@ -46,5 +52,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op7_lm_scoring": op7_lm_scoring, "op5_substring_dedup": op5_substring_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op6_sharding": op6_sharding, "op10_packing": op10_packing}
+QUERIES = {"op8_nearest": op8_nearest, "op7_lm_scoring": op7_lm_scoring, "op5_substring_dedup": op5_substring_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op6_sharding": op6_sharding, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
