@@ -23,16 +23,21 @@ from pyspark.sql import functions as F
 from ledgerstone.llm.blocks import U, chunks, dump, load, segments
 from ledgerstone.llm.common import width
 
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES, MOST_BYTES, PAYLOAD_BYTES = 4 << 20, 64 << 20, 2 << 10
 KEEP, LATER, ASK = 0, 1, 2
 LOW40 = U((1 << 40) - 1)
 NO_ID = -(1 << 63)
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """(bucket, doc_id, text): buckets of some megabytes, by a hash of doc_id.  A null doc_id counts as the smallest."""
+    """(bucket, doc_id, text): buckets of some megabytes, by a hash of doc_id.  A null doc_id counts as the smallest.
+
+    A bucket sends one payload to each partition, so it grows with the partitions, to MOST_BYTES
+    at most: payloads stay in the kilobytes and their number does not outgrow the data.
+    """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(2 * width(docs.sparkSession), size // BUCKET_BYTES)
+    parts = width(docs.sparkSession)
+    n = max(2 * parts, size // BUCKET_BYTES)
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bucket"), "doc_id", "text")
 
 
@@ -97,7 +102,7 @@ def mark(docs: DataFrame, symbols: Callable, window: int, k: int, same_doc: bool
 
     symbols(bytes, offsets) gives 64-bit symbols and their number in each text.  Windows compare
     by (doc_id, start) if same_doc, else by doc_id.  material(table, rows, starts, sizes) gives the
-    resolver each segment's own data and resolve(entries) a mask of the windows that come later.
+    resolver each segment's own data, as bytes and their numbers, and resolve(entries) a mask of the windows that come later.
     """
     parts = 2 * width(docs.sparkSession)
     base = bucketed(docs)
@@ -142,13 +147,15 @@ def mark(docs: DataFrame, symbols: Callable, window: int, k: int, same_doc: bool
         if not len(table) or not len(replies):
             return rows([], [], 1, [])
         b = Bucket(table, symbols, window, k, parts, same_doc)
-        bucket, flags, out, used = table["bucket"][0].as_py(), b.flags(replies), [], []
-        for p in range(parts):
-            e = b.edges[p] + np.flatnonzero(flags[b.edges[p] : b.edges[p + 1]] == ASK)
-            if len(e):
-                f = b.first[e]
-                used.append(p)
-                out.append(dump(b.m[f], b.content[f], b.doc[f], b.start[f], b.size[f]) + material(table, b.row[f], b.start[f], b.size[f]))
+        bucket, out, used = table["bucket"][0].as_py(), [], []
+        e = np.flatnonzero(b.flags(replies) == ASK)  # in order of p
+        f = b.first[e]
+        data, lengths = material(table, b.row[f], b.start[f], b.size[f])
+        cuts, upto = np.searchsorted(e, b.edges), np.append(0, np.cumsum(lengths))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            g = f[cuts[p] : cuts[p + 1]]
+            used.append(p)
+            out.append(dump(b.m[g], b.content[g], b.doc[g], b.start[g], b.size[g]) + data[upto[cuts[p]] : upto[cuts[p + 1]]])
         return rows(used, [bucket] * len(used), 1, out)
 
     def settle(table: pa.Table) -> pa.Table:

@@ -64,7 +64,7 @@ def compact(edge: np.ndarray, unit: np.ndarray, doc: np.ndarray, at: np.ndarray)
     return later[path]
 
 
-def _material(table: pa.Table, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
+def _material(table: pa.Table, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The hashes of the segments' windows."""
     out, to = np.zeros(sizes.sum(), U), np.cumsum(sizes) - sizes
     for a, b, buf, offs in chunks(table["text"]):
@@ -75,7 +75,7 @@ def _material(table: pa.Table, rows: np.ndarray, starts: np.ndarray, sizes: np.n
             j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat((np.cumsum(counts) - counts)[rows[mine] - a] + starts[mine], n) + j
             out[np.repeat(to[mine], n) + j] = Rolling(sym).windows(WINDOW)[at]
-    return out.tobytes()
+    return out.tobytes(), 8 * sizes
 
 
 def _resolve(entries: list[tuple[list[np.ndarray], bytes]]) -> list[np.ndarray]:

@@ -34,9 +34,9 @@ def _symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return byte_symbols(buf), np.diff(offs)
 
 
-def _material(table: pa.Table, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bytes:
+def _material(table: pa.Table, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
     buf, offs = raw(table["text"])
-    return buf[ragged(offs[rows] + starts, sizes + WINDOW - 1)].tobytes()
+    return buf[ragged(offs[rows] + starts, sizes + WINDOW - 1)].tobytes(), sizes + WINDOW - 1
 
 
 def _resolve(entries: list[tuple[list[np.ndarray], bytes]]) -> list[np.ndarray]:
