@@ -37,7 +37,7 @@ def bucketed(docs: DataFrame) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = width(docs.sparkSession)
-    n = max(2 * parts, size // BUCKET_BYTES)
+    n = max(parts, size // min(MOST_BYTES, max(BUCKET_BYTES, PAYLOAD_BYTES * parts)))
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bucket"), "doc_id", "text")
 
 
@@ -104,7 +104,7 @@ def mark(docs: DataFrame, symbols: Callable, window: int, k: int, same_doc: bool
     by (doc_id, start) if same_doc, else by doc_id.  material(table, rows, starts, sizes) gives the
     resolver each segment's own data, as bytes and their numbers, and resolve(entries) a mask of the windows that come later.
     """
-    parts = 2 * width(docs.sparkSession)
+    parts = width(docs.sparkSession)
     base = bucketed(docs)
 
     def ask(table: pa.Table) -> pa.Table:
