@@ -28,6 +28,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerstone.llm.quality import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerstone.llm.substring_dedup import dedup
 
@@ -58,5 +64,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op8_nearest": op8_nearest, "op7_lm_scoring": op7_lm_scoring, "op5_substring_dedup": op5_substring_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op6_sharding": op6_sharding, "op10_packing": op10_packing}
+QUERIES = {"op2_quality": op2_quality, "op1_minhash": op1_minhash, "op8_nearest": op8_nearest, "op7_lm_scoring": op7_lm_scoring, "op5_substring_dedup": op5_substring_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op6_sharding": op6_sharding, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
