@@ -224,8 +224,22 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     a null text is empty.  Without labelled rows of both classes nothing is known: all scores are
     0.5 and every document is kept.  Other columns are ignored.
     """
-    fitted = fit(docs, labels)
+    return docs.select("doc_id", "text", "lang", "source").mapInArrow(_scorer(fit(docs, labels)), "doc_id long, text_score double, meta_score double, score double, kept boolean")
 
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score() keeps, in one pass over them."""
+    scorer = _scorer(fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [x["kept"] for x in scorer(iter([batch]))]
+            yield batch.filter(pa.concat_arrays(kept) if kept else pa.array([], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scorer(fitted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, row, col, meta in features(batch):
@@ -239,4 +253,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     each = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (lt, lm, both[0] * lt + both[1] * lm + both[2])]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, n), *[pa.array(x) for x in each], pa.array(each[2] >= THRESHOLD)], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
-    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return run

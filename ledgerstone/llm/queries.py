@@ -34,6 +34,18 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerstone.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerstone.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerstone.llm.substring_dedup import dedup
 
@@ -64,5 +76,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_quality": op2_quality, "op1_minhash": op1_minhash, "op8_nearest": op8_nearest, "op7_lm_scoring": op7_lm_scoring, "op5_substring_dedup": op5_substring_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op6_sharding": op6_sharding, "op10_packing": op10_packing}
+QUERIES = {"op3_decontamination": op3_decontamination, "op4_licenses": op4_licenses, "op2_quality": op2_quality, "op1_minhash": op1_minhash, "op8_nearest": op8_nearest, "op7_lm_scoring": op7_lm_scoring, "op5_substring_dedup": op5_substring_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op6_sharding": op6_sharding, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}

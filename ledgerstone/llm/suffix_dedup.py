@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerstone.llm import repeats
 from ledgerstone.llm.blocks import U, byte_symbols, chunks, raw, segments
@@ -139,6 +140,34 @@ def _finish(table: pa.Table, row: np.ndarray, start: np.ndarray, size: np.ndarra
     return pa.table([table["doc_id"].cast(pa.int64()), *whole, pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _strip(table: pa.Table, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Table:
+    kept, o = [], np.argsort(row, kind="stable")
+    row, start, size = row[o], start[o], size[o]
+    for a, b, buf, offs in chunks(table["text"]):
+        i, j = np.searchsorted(row, [a, b])
+        gone = repeats.covered(offs[row[i:j] - a] + start[i:j], size[i:j] + WINDOW - 1, len(buf))
+        # a character goes only whole: one that keeps a byte stays
+        tail = (buf & 0xC0) == 0x80
+        head = np.flatnonzero(~tail)
+        if len(head):
+            whole = np.logical_and.reduceat(gone, head)
+            gone = np.repeat(whole, np.diff(np.append(head, len(buf))))
+        kept += [buf[offs[k] : offs[k + 1]][~gone[offs[k] : offs[k + 1]]].tobytes().decode() for k in range(b - a)]
+    return pa.table([table["doc_id"].cast(pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text"])
+
+
+def strip(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of docs with what dedup() removes cut out of their texts; doc_id must be unique.
+
+    Texts stay UTF-8: a character of which only some bytes are repeated stays whole.  n_chars
+    becomes the new length; a document that nothing is left of goes.
+    """
+    short = repeats.mark(docs, _symbols, WINDOW, K, False, _resolve, _material, _strip, "doc_id long, text string").where("text <> ''")
+    rest = docs.select([c for c in columns if c not in ("text", "n_chars")])
+    joined = short.join(rest, "doc_id")
+    return joined.withColumn("n_chars", F.length("text").cast("long")).select(columns)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per input row.
 
