@@ -6,10 +6,10 @@ bins h(i, 1), h(i, 2), ... and copies the first that is not empty.  Bands of bin
 and a bucket proposes a star, each member with its smallest one, never all its pairs.
 
 Proposed links are confirmed on the full shingle sets.  What a star can miss, two similar members
-of a bucket that are both unlike its centre, is made good exactly: while a bucket's members lie
-in more than one component, its next members by rank become centres for the members of other
-components, twice as many each round, until every pair that could still join two components was
-compared.  So no bucket is capped, and a bucket whose star holds costs one link a member.
+of a bucket that are both unlike its centre, is made good: where a bucket's members still lie in more than one component, their signatures
+are compared in blocks, first to propose each member's likeliest partner in another component,
+then every pair of different components that its signature does not rule out.  So no bucket is
+capped, and a bucket whose star holds costs one link a member.
 
 Documents with equal shingle sets are one node from the start.  Components are found by
 alternating large-star and small-star steps over written tables.
@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerstone.llm.blocks import U, Rolling, chunks, mix, word_hashes, words
-from ledgerstone.llm.common import cut, drop, number_within
+from ledgerstone.llm.common import cut, drop
 from ledgerstone.llm.repeats import NO_ID
 
 BINS, ROWS = 128, 4
+BLOCK = 512  # members of a bucket that are compared in one group
+SIGMAS = 4.5  # standard errors below the threshold at which a signature rules a link out
 SET_BITS = U((1 << 48) - 1)
 
 
@@ -95,7 +97,7 @@ def _unpack(blob) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(key, n, h1, h2, bands): the set's size, 128 bits of hash of the set, its buckets."""
+    """(key, n, h1, h2, bands, mins): the set's size, 128 bits of hash of the set, its buckets, a byte of each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +106,12 @@ def _sketch(docs: DataFrame, k: int) -> DataFrame:
                 at = np.cumsum(n) - n
                 sums = [np.append(0, np.cumsum(mix(h ^ U(s)))).astype(U) for s in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
                 h1, h2 = (x[at + n] - x[at] for x in sums)
-                buckets = bands(signatures(row, h, b - a))
+                sig = signatures(row, h, b - a)
+                buckets = bands(sig)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * buckets.shape[1]), pa.array(buckets.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch["key"].slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], ["key", "n", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["key"].slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists, pa.array([x.tobytes() for x in mix(sig).astype(np.uint8)], pa.binary())], ["key", "n", "h1", "h2", "bands", "mins"])
 
-    return docs.mapInArrow(run, "key long, n long, h1 long, h2 long, bands array<bigint>")
+    return docs.mapInArrow(run, "key long, n long, h1 long, h2 long, bands array<bigint>, mins binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -147,6 +150,61 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
+def _alike(left: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of a bucket's members, of different components, whose signatures do not rule a link out.
+
+    Members meet in blocks of at most 2 * BLOCK, so a bucket of any size is many groups; compared
+    are the signatures' bytes, and only pairs that may link become rows.  best: of those only the
+    likeliest partner of each member.
+    """
+    b = F.ceil(F.col("size") / BLOCK).cast("int")
+    cell = left.withColumn("blocks", b).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    cell = cell.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = cell.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "n", "component", "mins")
+    dealt = cell.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
+
+    def compare(group: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        key, n, part, mins = group["key"], group["n"], group["component"], group["mins"]
+        same = np.zeros((len(key), len(key)), np.int16)
+        for k in range(0, mins.shape[1], 16):
+            same += (mins[:, None, k : k + 16] == mins[None, :, k : k + 16]).sum(2, dtype=np.int16)
+        small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+        samples = BINS * (1 - np.exp(-small / BINS))  # bins that have a shingle of their own
+        t = percent / 100
+        ok = (100 * small >= percent * large) & (part[:, None] != part) & (same / BINS >= t - SIGMAS * np.sqrt(t * (1 - t) / samples))
+        if best:
+            at = np.where(ok, same, -1).argmax(1)
+            pair = [(x, y) for x, y in enumerate(at) if ok[x, y]]
+        else:
+            pair = list(zip(*np.nonzero(np.triu(ok)), strict=True))
+        return [(min(key[x], key[y]), max(key[x], key[y])) for x, y in pair if key[x] != key[y]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def settle(table: pa.Table, last: bool):
+            ids = [table[c].to_numpy() for c in ("bucket", "i", "j")]
+            new = np.ones(len(table), bool)
+            new[1:] = (ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1]) | (ids[2][1:] != ids[2][:-1])
+            edge = np.append(np.flatnonzero(new), len(table))
+            if not last:
+                edge = edge[:-1]
+            got = {c: table[c].to_numpy() for c in ("key", "n", "component")}
+            got["mins"] = np.frombuffer(b"".join(table["mins"].to_pylist()), np.uint8).reshape(len(table), -1)
+            out = [p for x, y in zip(edge[:-1], edge[1:], strict=True) if y - x > 1 for p in compare({c: v[x:y] for c, v in got.items()})]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"]), table.slice(int(edge[-1]) if len(edge) else 0)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None or not len(rest) else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if len(table):
+                out, rest = settle(table, False)
+                yield out
+        if rest is not None and len(rest):
+            yield settle(rest, True)[0]
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, component): the smallest key reachable over links (a, b), a <> b, for keys that have a link."""
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
@@ -184,43 +242,26 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     hubs = rows.groupBy("bucket").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(rows.join(hubs, "bucket"), "members")
     asked = members.select("key").distinct()
-    sets = cut(_sets(d.join(asked, "key", "left_semi"), k).distinct(), "sets")
+    sets = cut(_sets(d.join(asked, "key", "left_semi").distinct(), k), "sets")
 
     star = members.where("key <> hub").groupBy("key").agg(F.min("hub").alias("a")).select("a", F.col("key").alias("b"))
     links = cut(_confirm(star, sets, percent), "confirmed")
     label = components(links)
     found = [links]
-    ranked = None
-    tested, upto = 0, 1
-    while True:
-        # members of buckets that still hold more than one component
-        now = (members if ranked is None else ranked).join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    for best in (True, False):
+        # buckets that still hold more than one component
+        now = members.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
         open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        left = now.join(open_, "bucket", "left_semi")
-        if tested == 0:  # all stars in full: the smallest member with each of another component
-            hub_label = label.select(F.col("key").alias("hub"), F.col("component").alias("of_hub"))
-            pairs = left.where("key <> hub").join(hub_label, "hub", "left").where(F.coalesce("of_hub", "hub") != F.col("component")).select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-        else:
-            if ranked is None:
-                left = cut(left.where("size > 2").select("bucket", "key", "n", "size", "component"), "open")
-                count = left.count()
-                if not count:
-                    break
-                ranked = cut(number_within(left.drop("component"), ["bucket"], [F.col("key")], [F.col("key")], "rank", count), "ranked")
-                left = ranked.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
-            elif not left.where(F.col("size") > tested).limit(1).count():
-                break
-            centre = left.where((F.col("rank") >= tested) & (F.col("rank") < upto)).select("bucket", F.col("key").alias("a"), F.col("rank").alias("ra"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            near = (100 * F.least("n", "na") >= percent * F.greatest("n", "na")) & (F.col("rank") > F.col("ra")) & (F.col("component") != F.col("ca"))
-            pairs = left.join(centre, "bucket").where(near).select("a", F.col("key").alias("b")).distinct()
-        more = cut(_confirm(pairs, sets, percent), "confirmed")
+        left = now.join(open_, "bucket", "left_semi").join(sketch.select("key", "mins").distinct(), "key")
+        pairs = cut(_alike(left, percent, best).distinct(), "pairs")
+        more = cut(_confirm(pairs.join(star, ["a", "b"], "left_anti"), sets, percent), "confirmed")
+        drop(pairs)
         if more.limit(1).count():
             found.append(more)
             every = found[0]
             for x in found[1:]:
                 every = every.unionByName(x)
             label = components(every)
-        tested, upto = upto, 2 * upto
     out = sketch.select("key", "n", "h1", "h2").join(node, ["h1", "h2", "n"], "left").join(label.select(F.col("key").alias("node"), "component"), "node", "left")
     of_row = out.select("key", "n", F.coalesce("component", "node", "key").alias("of"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
