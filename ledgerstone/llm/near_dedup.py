@@ -7,9 +7,10 @@ and a bucket proposes a star, each member with its smallest one, never all its p
 
 Proposed links are confirmed on the full shingle sets.  What a star can miss, two similar members
 of a bucket that are both unlike its centre, is made good: where a bucket's members still lie in more than one component, their signatures
-are compared in blocks, first to propose each member's likeliest partner in another component,
-then every pair of different components that its signature does not rule out.  So no bucket is
-capped, and a bucket whose star holds costs one link a member.
+are compared in blocks: first to propose each member's likeliest partner in another component,
+then to find the families whose members no signature rules out, and inside a family all pairs
+of different components are compared on their full sets, in blocks.  No bucket is capped, a
+bucket whose star holds costs one link a member, and only joining links become rows.
 
 Documents with equal shingle sets are one node from the start.  Components are found by
 alternating large-star and small-star steps over written tables.
@@ -150,61 +151,110 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
-def _alike(left: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of a bucket's members, of different components, whose signatures do not rule a link out.
+def _grouped(dealt: DataFrame, keys: tuple[str, str, str], handle) -> DataFrame:
+    """handle(table) -> [(a, b), ...] for each group of rows of equal keys; rows must be dealt and sorted by them.
 
-    Members meet in blocks of at most 2 * BLOCK, so a bucket of any size is many groups; compared
-    are the signatures' bytes, and only pairs that may link become rows.  best: of those only the
-    likeliest partner of each member.
+    Groups are taken from the stream of batches one after another, so memory follows the largest.
     """
-    b = F.ceil(F.col("size") / BLOCK).cast("int")
-    cell = left.withColumn("blocks", b).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    cell = cell.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = cell.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "n", "component", "mins")
-    dealt = cell.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
-
-    def compare(group: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        key, n, part, mins = group["key"], group["n"], group["component"], group["mins"]
-        same = np.zeros((len(key), len(key)), np.int16)
-        for k in range(0, mins.shape[1], 16):
-            same += (mins[:, None, k : k + 16] == mins[None, :, k : k + 16]).sum(2, dtype=np.int16)
-        small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
-        samples = BINS * (1 - np.exp(-small / BINS))  # bins that have a shingle of their own
-        t = percent / 100
-        ok = (100 * small >= percent * large) & (part[:, None] != part) & (same / BINS >= t - SIGMAS * np.sqrt(t * (1 - t) / samples))
-        if best:
-            at = np.where(ok, same, -1).argmax(1)
-            pair = [(x, y) for x, y in enumerate(at) if ok[x, y]]
-        else:
-            pair = list(zip(*np.nonzero(np.triu(ok)), strict=True))
-        return [(min(key[x], key[y]), max(key[x], key[y])) for x, y in pair if key[x] != key[y]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
         def settle(table: pa.Table, last: bool):
-            ids = [table[c].to_numpy() for c in ("bucket", "i", "j")]
+            ids = [table[c].to_numpy() for c in keys]
             new = np.ones(len(table), bool)
             new[1:] = (ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1]) | (ids[2][1:] != ids[2][:-1])
             edge = np.append(np.flatnonzero(new), len(table))
             if not last:
                 edge = edge[:-1]
-            got = {c: table[c].to_numpy() for c in ("key", "n", "component")}
-            got["mins"] = np.frombuffer(b"".join(table["mins"].to_pylist()), np.uint8).reshape(len(table), -1)
-            out = [p for x, y in zip(edge[:-1], edge[1:], strict=True) if y - x > 1 for p in compare({c: v[x:y] for c, v in got.items()})]
+            out = [p for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if y - x > 1 for p in handle(table.slice(x, y - x))]
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"]), table.slice(int(edge[-1]) if len(edge) else 0)
 
         for batch in batches:
             table = pa.Table.from_batches([batch]) if rest is None or not len(rest) else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             if len(table):
-                out, rest = settle(table, False)
+                out, rest = settle(table.combine_chunks(), False)
                 yield out
         if rest is not None and len(rest):
-            yield settle(rest, True)[0]
+            yield settle(rest.combine_chunks(), True)[0]
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _dealt(members: DataFrame, group: str, size: str, block: int, rows: list[str]) -> DataFrame:
+    """Members of a group in blocks of some `block` rows, each pair of blocks a group (group, i, j) of its own."""
+    cell = members.withColumn("blocks", F.ceil(F.col(size) / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    cell = cell.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = cell.select(group, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), *rows)
+    return cell.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "key")
+
+
+def _forest(ok: np.ndarray, key: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join what the symmetric relation joins: each row with the smallest it reaches."""
+    root = np.arange(len(ok))
+    while True:
+        low = np.minimum(np.where(ok, root, len(ok)).min(1), root)
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return [(min(key[x], key[r]), max(key[x], key[r])) for x, r in enumerate(root.tolist()) if x != r and key[x] != key[r]]
+
+
+def _alike(left: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b) of a bucket's members, of different components, whose signatures do not rule a link out.
+
+    best: of those only the likeliest partner of each member; else as many as join the same
+    members, not all pairs.
+    """
+
+    def handle(table: pa.Table) -> list[tuple[int, int]]:
+        key, n, part = (table[c].to_numpy() for c in ("key", "n", "component"))
+        mins = np.frombuffer(b"".join(table["mins"].to_pylist()), np.uint8).reshape(len(table), -1)
+        same = np.zeros((len(key), len(key)), np.int16)
+        for k in range(0, mins.shape[1], 16):
+            same += (mins[:, None, k : k + 16] == mins[None, :, k : k + 16]).sum(2, dtype=np.int16)
+        small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+        samples = BINS * (1 - np.exp(-small / BINS))  # bins that have a shingle of their own
+        t = percent / 100
+        ok = (100 * small >= percent * large) & (part[:, None] != part) & (same / BINS >= t - SIGMAS * np.sqrt(t * (1 - t) / samples))
+        if not best:
+            return _forest(ok, key.tolist())
+        at = np.where(ok, same, -1).argmax(1)
+        key = key.tolist()
+        return [(min(key[x], key[y]), max(key[x], key[y])) for x, y in enumerate(at.tolist()) if ok[x, y] and key[x] != key[y]]
+
+    return _grouped(_dealt(left, "bucket", "size", BLOCK, ["key", "n", "component", "mins"]), ("bucket", "i", "j"), handle)
+
+
+def _inside(families: DataFrame, percent: int) -> DataFrame:
+    """Links that join what confirmed pairs join, all pairs of a family being compared on their full sets.
+
+    families: family, size, key, component, grams.  Only joining links become rows.
+    """
+
+    def handle(table: pa.Table) -> list[tuple[int, int]]:
+        key, part = table["key"].to_numpy(), table["component"].to_numpy()
+        sets = [_unpack(x) for x in table["grams"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        row = np.repeat(np.arange(len(sets)), n)
+        o = np.argsort(ids, kind="stable")
+        ids, row = ids[o], row[o]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        top = int(ids[-1]) + 1 if len(ids) else 0
+        for lo in range(0, top, 4096):
+            a, b = np.searchsorted(ids, [lo, lo + 4096])
+            cell = np.zeros((len(sets), min(4096, top - lo)), np.float32)
+            cell[row[a:b], ids[a:b] - lo] = 1
+            common += cell @ cell.T
+        inter = common.astype(np.int64)
+        ok = (100 * inter >= percent * (n[:, None] + n - inter)) & (part[:, None] != part) & (n > 0)
+        return _forest(ok, key.tolist())
+
+    return _grouped(_dealt(families, "family", "size", BLOCK // 2, ["key", "component", "grams"]), ("family", "i", "j"), handle)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, component): the smallest key reachable over links (a, b), a <> b, for keys that have a link."""
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
@@ -248,14 +298,23 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = cut(_confirm(star, sets, percent), "confirmed")
     label = components(links)
     found = [links]
+
+    def labelled(table: DataFrame) -> DataFrame:
+        return table.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+
     for best in (True, False):
         # buckets that still hold more than one component
-        now = members.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        now = labelled(members)
         open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         left = now.join(open_, "bucket", "left_semi").join(sketch.select("key", "mins").distinct(), "key")
         pairs = cut(_alike(left, percent, best).distinct(), "pairs")
-        more = cut(_confirm(pairs.join(star, ["a", "b"], "left_anti"), sets, percent), "confirmed")
-        drop(pairs)
+        if best:
+            more = cut(_confirm(pairs.join(star, ["a", "b"], "left_anti"), sets, percent), "confirmed")
+        else:
+            family = components(pairs).withColumnRenamed("component", "family")
+            family = family.unionByName(family.select(F.col("family").alias("key"), "family").distinct())
+            size = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+            more = cut(_inside(labelled(family.join(size, "family")).join(sets, "key"), percent).distinct(), "confirmed")
         if more.limit(1).count():
             found.append(more)
             every = found[0]
