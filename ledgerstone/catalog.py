@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from ledgerstone.plans import formats, maps  # noqa: F401  they register
+from ledgerstone.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
