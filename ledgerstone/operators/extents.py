@@ -47,13 +47,13 @@ def overlaps(ranges: DataFrame, extents: DataFrame) -> DataFrame:
 def fracture(extents: DataFrame, writes: DataFrame, block_size: int) -> DataFrame:
     """What is left of old extents under new ones (lo, hi): interval subtraction, offsets moved along.
 
-    Cuts of an extent are disjoint ranges in order; the gaps before, between and after survive.
+    Cuts stand in order and may overlap: a gap starts where all cuts before it have ended.
     """
     cut = overlaps(writes.select("lo", "hi"), extents).groupBy("start_block", "num_blocks", "object_id", "object_offset").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("cuts"))
     e = extents.join(cut, ["start_block", "num_blocks", "object_id", "object_offset"], "left")
     end = F.col("start_block") + F.col("num_blocks")
     cuts = F.coalesce("cuts", F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
-    heads = F.concat(F.array(F.col("start_block")), F.transform(cuts, lambda c: c["hi"]))
+    heads = F.concat(F.array(F.col("start_block")), F.transform(cuts, lambda c, i: F.array_max(F.transform(F.slice(cuts, F.lit(1), i + 1), lambda x: x["hi"]))))
     tails = F.concat(F.transform(cuts, lambda c: c["lo"]), F.array(end))
     gaps = F.filter(F.arrays_zip(heads.alias("a"), tails.alias("b")), lambda g: g["b"] > g["a"])
     left = e.withColumn("g_", F.explode(gaps))
