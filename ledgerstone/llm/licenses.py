@@ -129,14 +129,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 places: dict[int, list[tuple]] = defaultdict(list)
                 for (row, t), shifts in sorted(hits.items()):
                     lo, hi = np.searchsorted(text, [row, row + 1])
-                    words, last = index.words[t], None
+                    words, last, mine = index.words[t], None, h[lo:hi].copy()
                     for shift in sorted(shifts):
                         if last is not None and shift - last <= BAND // 2:
                             continue  # the band around the last one covers it
                         last = shift
-                        n, x, y = align(words, h[lo:hi], shift - int(lo))
-                        if n >= coverage * len(words):
+                        while True:  # what was found is taken out, so each place of many in a row is seen
+                            n, x, y = align(words, mine, shift - int(lo))
+                            if not n or n < coverage * len(words):
+                                break
                             places[row].append((n, lo + x, lo + y, t))
+                            mine[x:y] = 0
                 for row, found in places.items():
                     used: list[tuple[int, int]] = []
                     for n, x, y, t in sorted(found, key=lambda v: (-v[0], v[2] - v[1], v[1], v[3])):
