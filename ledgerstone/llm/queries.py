@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerstone.llm import oracles
+from ledgerstone.llm.decontaminate import COVERAGE, UNITS, WINDOW
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,4 +80,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_decontamination": op3_decontamination, "op4_licenses": op4_licenses, "op2_quality": op2_quality, "op1_minhash": op1_minhash, "op8_nearest": op8_nearest, "op7_lm_scoring": op7_lm_scoring, "op5_substring_dedup": op5_substring_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op6_sharding": op6_sharding, "op10_packing": op10_packing}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_minhash": oracles.OP1, "op3_decontamination": oracles.op3(WINDOW, COVERAGE, UNITS), "op5_substring_dedup": oracles.OP5, "op9_suffix_dedup": oracles.OP9}

@@ -28,7 +28,7 @@ K = 24
 SECOND_K = (40, 46)
 CROWD = 32  # segments of a minimizer from which it is split further
 IN_STEP = 2000  # symbols up to which a text is ordered in step with others
-BATCH = 1_000_000
+BATCH = 500_000
 
 
 def _symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
