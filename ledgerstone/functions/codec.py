@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerstone.functions.numbers import div
+
 # Magics, header and record sizes of the binary formats.
 WAL_MAGIC, WAL_SEALED_MAGIC = b"VBWL", b"VBWE"
 CHUNK_MAGIC, CHUNK_SEALED_MAGIC = b"VBCH", b"VBCE"
@@ -46,7 +48,7 @@ def map_header(seconds: Column) -> Column:
 
 
 def _records(content: Column, header: int, size: int) -> Column:
-    n = F.floor((F.length(content) - header) / size).cast("int")
+    n = div(F.length(content) - header, size).cast("int")
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.struct(i.cast("long").alias("pos"), F.substring(content, F.lit(header + 1) + i * size, F.lit(size)).alias("rec")))
 

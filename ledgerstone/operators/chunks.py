@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerstone.functions.numbers import div
+
 
 def pack(latest: DataFrame, part: list[str], per_chunk: int, block_size: int, header: int) -> DataFrame:
     """Blocks of each drain in ascending order, cut every `per_chunk`: pos, chunk, object_offset."""
     pos = F.row_number().over(Window.partitionBy(*part).orderBy("block")) - 1
     p = latest.withColumn("pos", pos.cast("long"))
-    return p.withColumn("chunk", F.floor(F.col("pos") / per_chunk)).withColumn("object_offset", header + F.col("pos") % per_chunk * block_size)
+    return p.withColumn("chunk", div(F.col("pos"), per_chunk)).withColumn("object_offset", header + F.col("pos") % per_chunk * block_size)
 
 
 def with_ids(packed: DataFrame, part: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerstone.functions.numbers import div
+
 BUCKET = 64
 
 
@@ -24,23 +26,23 @@ def expand(extents: DataFrame, block_size: int) -> DataFrame:
 
 
 def _bucketed(extents: DataFrame) -> DataFrame:
-    first, last = F.floor(F.col("start_block") / BUCKET), F.floor((F.col("start_block") + F.col("num_blocks") - 1) / BUCKET)
+    first, last = div(F.col("start_block"), BUCKET), div(F.col("start_block") + F.col("num_blocks") - 1, BUCKET)
     return extents.withColumn("bucket_", F.explode(F.sequence(first, last)))
 
 
 def lookup(probes: DataFrame, extents: DataFrame, block_size: int) -> DataFrame:
     """Each probe's block with its place: a range join as an equi-join on block buckets."""
     e = _bucketed(extents)
-    hit = (F.floor(F.col("block") / BUCKET) == F.col("bucket_")) & (F.col("block") >= F.col("start_block")) & (F.col("block") < F.col("start_block") + F.col("num_blocks"))
+    hit = (div(F.col("block"), BUCKET) == F.col("bucket_")) & (F.col("block") >= F.col("start_block")) & (F.col("block") < F.col("start_block") + F.col("num_blocks"))
     return probes.join(e, hit).select(*probes.columns, "object_id", (F.col("object_offset") + (F.col("block") - F.col("start_block")) * block_size).alias("object_offset"))
 
 
 def overlaps(ranges: DataFrame, extents: DataFrame) -> DataFrame:
     """All extents that intersect [lo, hi) of each range; a pair meets in several buckets and is kept in its first."""
-    r = ranges.where("hi > lo").withColumn("at_", F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor((F.col("hi") - 1) / BUCKET))))
+    r = ranges.where("hi > lo").withColumn("at_", F.explode(F.sequence(div(F.col("lo"), BUCKET), div(F.col("hi") - 1, BUCKET))))
     e = _bucketed(extents)
     meet = (F.col("at_") == F.col("bucket_")) & (F.col("start_block") < F.col("hi")) & (F.col("start_block") + F.col("num_blocks") > F.col("lo"))
-    first = F.floor(F.greatest("lo", "start_block") / BUCKET) == F.col("at_")
+    first = div(F.greatest("lo", "start_block"), BUCKET) == F.col("at_")
     return r.join(e, meet).where(first).select(*ranges.columns, "start_block", "num_blocks", "object_id", "object_offset")
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerstone.functions.numbers import div
+
 
 def to_blocks(req: DataFrame, block_size: int) -> DataFrame:
     """req, off, len, block: one row per block that a request touches; an empty request touches none."""
-    first, last = F.floor(F.col("off") / block_size), F.floor((F.col("off") + F.col("len") - 1) / block_size)
+    first, last = div(F.col("off"), block_size), div(F.col("off") + F.col("len") - 1, block_size)
     return req.where("len > 0").withColumn("block", F.explode(F.sequence(first, last)))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerstone.functions.numbers import div
 from ledgerstone.operators import chunks, log
+from ledgerstone.operators.files import allocate
 
 BLOCK = 4096
 HEADER = 10
@@ -37,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def wal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, block, gen, event_type, value: one write per event, a drain each 256 writes."""
     e = table(spark, sf_dir, "events")
-    return e.select((F.col("event_id") + 1).alias("seq"), F.col("user_id").alias("block"), F.floor(F.col("event_id") / GENERATION).alias("gen"), "event_type", "value")
+    return e.select((F.col("event_id") + 1).alias("seq"), F.col("user_id").alias("block"), div(F.col("event_id"), GENERATION).alias("gen"), "event_type", "value")
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.alias("req"), (F.col("o_custkey") * BLOCK + key % 8 * 512).alias("off"), (512 * (1 + key % 16)).alias("len"))
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, size, nb, start_block: each document as a file of whole blocks."""
+    d = table(spark, sf_dir, "documents")
+    f = d.select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), div(F.col("n_chars") + BLOCK - 1, BLOCK).alias("nb"))
+    return allocate(f, "doc_id", "nb", "start_block")
+
+
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """depth, block: which blocks each layer of a clone holds, 0 being its own."""
     e = table(spark, sf_dir, "events").select((F.col("event_id") % 3).alias("depth"), F.col("user_id").alias("block"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerstone.functions import codec, crypto, keys
+from ledgerstone.functions.numbers import div
 from ledgerstone.operators import chunks, extents, log
 from ledgerstone.plans import fixtures as fx
 from ledgerstone.plans.fixtures import BM, D, EXT, FILES, WAL
-from ledgerstone.plans.registry import both, query, run_sql
+from ledgerstone.plans.registry import both, query
 from ledgerstone.sources import blocklog
 from ledgerstone.streaming import drain as stream
 
@@ -146,7 +147,7 @@ def checkpoints(spark, d) -> DataFrame:
     """One encoded checkpoint per 64 chunks: part, content."""
     bm = fx.blockmap(spark, d)
     rec = codec.map_record(F.col("block"), F.col("object_id"), F.col("object_offset"), F.col("seq"))
-    slots = bm.select((F.floor(F.col("object_id") / 64)).alias("part"), F.col("block").alias("slot"), rec.alias("data"))
+    slots = bm.select(div(F.col("object_id"), 64).alias("part"), F.col("block").alias("slot"), rec.alias("data"))
     return chunks.assemble(slots, ["part"]).select("part", F.concat(codec.map_header(F.lit(NOW)), "body").alias("content"))
 
 
@@ -191,7 +192,7 @@ def import_nonzero_blocks(spark, d):
     image = chunks.assemble(r.select(F.lit(0).alias("image"), F.col("seq").alias("slot"), "data"), ["image"])
     parts = image.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.length("body") / SMALL).cast("int") - 1), lambda i: F.substring(F.col("body"), i * SMALL + 1, F.lit(SMALL)))).alias("i", "data"))
     kept = parts.where(F.col("data") != F.unhex(F.lit("00" * SMALL))).join(r.select("seq", "block"), F.col("i") + 1 == F.col("seq"))
-    return hexed(kept.select("block", F.floor(F.col("block") / 4096).alias("batch"), "data"), "data")
+    return hexed(kept.select("block", div(F.col("block"), 4096).alias("batch"), "data"), "data")
 
 
 both("import_progress", f"WITH {WAL} SELECT {B('floor(seq*100/1000.0)')} AS pct, min(seq) AS first_block FROM wal WHERE seq <= 1000 GROUP BY {B('floor(seq*100/1000.0)')}")
@@ -281,7 +282,7 @@ def volume_id(spark, d):
 
 @query("fs_file_to_chunks", f"WITH {FILES}, {EXT}, fb AS (SELECT path, start_block + i AS block, i FROM files JOIN (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) s ON i < nb) SELECT fb.path, {B('fb.i')} AS i, fb.block, bm.object_id, bm.object_offset FROM fb JOIN bm ON fb.block = bm.block")
 def fs_file_to_chunks(spark, d):
-    f = run_sql(spark, d, f"WITH {FILES} SELECT path, nb, start_block FROM files").where("nb > 0")
+    f = fx.files(spark, d).where("nb > 0")
     fb = f.select("path", F.posexplode(F.sequence(F.col("start_block"), F.col("start_block") + F.col("nb") - 1)).alias("i", "block")).withColumn("i", F.col("i").cast("long"))
     return extents.lookup(fb, fx.extents(spark, d), fx.BLOCK)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerstone.operators import chunks, extents, gc, log, reads, snapshots
 from ledgerstone.plans import fixtures as fx
 from ledgerstone.plans.fixtures import BLOCK, BM, CH, D, EXT, FILES, HEADER, LAYERS, OPLOG, PER_CHUNK, REQ, WAL
-from ledgerstone.plans.registry import both, query, run_sql
+from ledgerstone.plans.registry import both, query
 
 B = lambda x: f"CAST({x} AS BIGINT)"
 
@@ -200,7 +200,7 @@ DENSE = f"{FILES}, rq AS (SELECT CAST(substr(path, 5) AS BIGINT) AS req, start_b
 
 def _dense(spark, d):
     """Reads of whole files, in file order; eight clients take turns."""
-    return run_sql(spark, d, f"WITH {DENSE} SELECT * FROM rq")
+    return fx.files(spark, d).select(F.col("doc_id").alias("req"), F.col("start_block").alias("first_block"), F.col("nb").alias("num_blocks"), (F.col("doc_id") % 8).alias("client"))
 
 
 @query("readahead_detect", f"WITH {DENSE} SELECT req, coalesce(first_block = lag(first_block + num_blocks) OVER (PARTITION BY req - client ORDER BY req), false) AS sequential FROM rq")
@@ -209,7 +209,13 @@ def readahead_detect(spark, d):
     return reads.sequential(r, ["stream"]).select("req", "sequential")
 
 
-both("readahead_plan", f"WITH {DENSE}, s AS (SELECT *, coalesce(first_block = lag(first_block + num_blocks) OVER (PARTITION BY req - client ORDER BY req), false) AS sequential FROM rq) SELECT req, first_block, CASE WHEN sequential THEN least(num_blocks + 256, 1024 - first_block % 1024, CAST(512 AS BIGINT)) ELSE num_blocks END AS fetch_blocks FROM s")
+@query("readahead_plan", f"WITH {DENSE}, s AS (SELECT *, coalesce(first_block = lag(first_block + num_blocks) OVER (PARTITION BY req - client ORDER BY req), false) AS sequential FROM rq) SELECT req, first_block, CASE WHEN sequential THEN least(num_blocks + 256, 1024 - first_block % 1024, CAST(512 AS BIGINT)) ELSE num_blocks END AS fetch_blocks FROM s")
+def readahead_plan(spark, d):
+    """A sequential read goes on for up to 256 blocks, inside its chunk and half the cache."""
+    r = reads.sequential(_dense(spark, d).withColumn("stream", F.col("req") - F.col("client")), ["stream"])
+    wide = F.least(F.col("num_blocks") + 256, 1024 - F.col("first_block") % 1024, F.lit(512).cast("long"))
+    return r.select("req", "first_block", F.when(F.col("sequential"), wide).otherwise(F.col("num_blocks")).alias("fetch_blocks"))
+
 
 # ---- snapshots ------------------------------------------------------------------------------
 
@@ -311,5 +317,10 @@ both("backend_full_episodes", "WITH l AS (SELECT user_id AS volume, event_id, CA
 
 # ---- files ----------------------------------------------------------------------------------
 
-both("fs_allocate", f"WITH {FILES} SELECT path, size, nb, start_block FROM files")
+
+@query("fs_allocate", f"WITH {FILES} SELECT path, size, nb, start_block FROM files")
+def fs_allocate(spark, d):
+    return fx.files(spark, d).select("path", "size", "nb", "start_block")
+
+
 both("safe_casts", "SELECT c_custkey AS id, " + B("least(greatest(c_custkey*3000000000-5000000000, 0), 4294967295)") + " AS as_u32, " + B("least(greatest(c_custkey*3000000000-5000000000, -2147483648), 2147483647)") + " AS as_i32, " + B("least(greatest(c_custkey-50, 0), 65535)") + " AS as_u16 FROM customer")
