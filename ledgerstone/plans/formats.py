@@ -342,7 +342,7 @@ def _writes(spark, d) -> DataFrame:
     root = stream.scratch(spark)
     w = fx.wal(spark, d).select("gen", "seq", "block")
     w.repartition("gen").write.partitionBy("gen").parquet(f"{root}/in")
-    return spark.readStream.schema("seq long, block long").option("maxFilesPerTrigger", 16).parquet(f"{root}/in"), root
+    return spark.readStream.schema("seq long, block long").option("maxFilesPerTrigger", 64).parquet(f"{root}/in"), root
 
 
 @query("stream_drain", f"WITH {WAL} SELECT block, max(seq) AS seq FROM wal GROUP BY block")
