@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import decontaminate, near_dedup, packing, quality, suffix_dedup
-from ledgerstone.llm.common import cut
+from ledgerstone.llm.common import cut, ship
 from ledgerstone.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,17 +19,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
+    ship(spark)
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    ship(spark)
     kept = near_dedup.link(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 50-byte strings that also start in an earlier document."""
+    ship(spark)
     return suffix_dedup.strip(docs, COLUMNS)
 
 
@@ -41,6 +44,7 @@ def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens."""
+    ship(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_own: list[str] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to Spark, which serves it to all executors: their Python workers import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    folder = Path(tempfile.mkdtemp(prefix="ledgerstone-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "ledgerstone.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted((root / "ledgerstone").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(folder / "ledgerstone.zip"))
+    _shipped.add(sc.applicationId)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
@@ -20,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="ledgerstone-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="ledgerstone-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return "file://" + _own[0]
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerstone.llm import oracles
+from ledgerstone.llm.common import ship
 from ledgerstone.llm.decontaminate import COVERAGE, UNITS, WINDOW
 
 
@@ -79,5 +80,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op4_licenses": op4_licenses, "op2_quality": op2_quality, "op1_minhash": op1_minhash, "op8_nearest": op8_nearest, "op7_lm_scoring": op7_lm_scoring, "op5_substring_dedup": op5_substring_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op6_sharding": op6_sharding, "op10_packing": op10_packing}
+def _shipped(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_quality, op3_decontamination, op4_licenses, op5_substring_dedup, op6_sharding, op7_lm_scoring, op8_nearest, op9_suffix_dedup, op10_packing)}
 ORACLE_SQL = {"op1_minhash": oracles.OP1, "op3_decontamination": oracles.op3(WINDOW, COVERAGE, UNITS), "op5_substring_dedup": oracles.OP5, "op9_suffix_dedup": oracles.OP9}
