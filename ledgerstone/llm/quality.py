@@ -94,13 +94,14 @@ class Model:
         self.w, self.bias = np.zeros(1 << bits), 0.0
 
     def logits(self, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(row, self.w[col], n) + self.bias
+        used = (self.w != 0)[col]
+        return np.bincount(row[used], self.w[col[used]], n) + self.bias
 
     def fit(self, row, col, y, weight, apart: float = 0.0, rounds: int = 120, rate: float = 0.3, l2: float = 1e-5) -> Model:
         """apart: features whose share of good and of bad rows differs by fewer standard errors are left out."""
         n = len(y)
-        good, n1 = np.bincount(col, y[row], len(self.w)), max(1.0, y.sum())
-        bad, n0 = np.bincount(col, 1 - y[row], len(self.w)), max(1.0, n - y.sum())
+        good, n1 = np.bincount(col[(y > 0)[row]], minlength=len(self.w)), max(1.0, y.sum())
+        bad, n0 = np.bincount(col, minlength=len(self.w)) - good, max(1.0, n - y.sum())
         p = np.clip((good + bad) / max(1, n), 1e-12, 1 - 1e-12)
         z = (good / n1 - bad / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
         keep = ((np.abs(z) >= apart) & (good + bad > 0))[col]
@@ -137,9 +138,9 @@ def _platt(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 def _pick(row, col, chosen: np.ndarray, n: int):
     """The features of some rows, in their order."""
-    new = np.full(n, -1)
+    new = np.full(n, -1, np.int32)
     new[chosen] = np.arange(len(chosen))
-    keep = new[row] >= 0
+    keep = (new >= 0)[row]
     return new[row[keep]], col[keep]
 
 
@@ -192,8 +193,8 @@ def _gather(docs: DataFrame) -> tuple[tuple, np.ndarray, list[int]]:
     got = docs.mapInArrow(run, "doc_id long, text binary, meta binary").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     parts = [np.frombuffer(x, np.int32) for x in got["text"].to_pylist()]
-    row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-    col = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+    col = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     meta = np.array([np.frombuffer(x, np.int16) for x in got["meta"].to_pylist()], np.int64).reshape(len(parts), -1)
     return (row, col), meta, got["doc_id"].to_pylist()
 
