@@ -27,7 +27,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     ship(spark)
     kept = near_dedup.link(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        stay = stay.dropDuplicates(["doc_id"])  # only repeated rows make another shuffle of texts worth it
+    return stay.select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,11 +6,17 @@ no Python object per word and its memory follows the chunk, not the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
 U = np.uint64
 CHUNK = 1 << 18
 BASE = U(0x9E3779B97F4A7C15)
@@ -42,6 +48,15 @@ def chunks(column, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, n
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, "right")) - 1)
         yield a, b, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
+    del buf, offs
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a Python worker lives on beside others after its task."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

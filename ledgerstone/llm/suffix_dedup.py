@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import repeats
-from ledgerstone.llm.blocks import U, byte_symbols, chunks, raw, segments
+from ledgerstone.llm.blocks import U, byte_symbols, chunks, raw, segments, tidy
 from ledgerstone.llm.suffix_groups import order, order_one, ragged
 
 WINDOW = 50
@@ -28,6 +28,7 @@ K = 24
 SECOND_K = (40, 46)
 CROWD = 32  # segments of a minimizer from which it is split further
 IN_STEP = 2000  # symbols up to which a text is ordered in step with others
+LANES, ALWAYS = 120, 300  # lanes from which a step is worth it; symbols up to which it is anyway
 BATCH = 500_000
 
 
@@ -45,6 +46,7 @@ def _resolve(entries: list[tuple[list[np.ndarray], bytes]]) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(more for _, more in entries), np.uint8)
     off = np.cumsum(size + WINDOW - 1) - (size + WINDOW - 1)
     mask = later_windows(m, doc, size, data, off)
+    tidy()
     return np.split(mask, np.cumsum([len(x[0]) for x, _ in entries])[:-1])
 
 
@@ -65,7 +67,8 @@ def later_windows(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.n
         sub = sub.reshape(-1) + lane.max() + 1
         unit, begin, n, lane = (np.concatenate([x[~crowded], y]) for x, y in ((unit, u[text]), (begin, b[text] + inner), (n, runs), (lane, sub)))
     alone = np.bincount(lane)[lane] < 2
-    o = np.argsort(lane, kind="stable")
+    # lanes of like lengths stand together, so the lanes of a batch end together
+    o = np.lexsort((lane, np.bincount(lane, n + WINDOW)[lane]))
     o = o[~alone[o]]
     unit, begin, n, lane = unit[o], begin[o], n[o], lane[o]
     if not len(o):
@@ -75,7 +78,8 @@ def later_windows(key: np.ndarray, doc: np.ndarray, size: np.ndarray, data: np.n
     first = np.flatnonzero(new)
     symbols = np.add.reduceat(n + WINDOW, first) + 1
     until = np.append(first[1:], len(o))
-    short = symbols <= IN_STEP
+    many = np.arange(len(first), 0, -1) >= LANES  # as many lanes are left that are as long
+    short = (symbols <= IN_STEP) & (many | (symbols <= ALWAYS))
     a = 0
     while a < len(first):  # batches of lanes, in order
         b = a + 1
@@ -153,18 +157,21 @@ def _strip(table: pa.Table, row: np.ndarray, start: np.ndarray, size: np.ndarray
             whole = np.logical_and.reduceat(gone, head)
             gone = np.repeat(whole, np.diff(np.append(head, len(buf))))
         kept += [buf[offs[k] : offs[k + 1]][~gone[offs[k] : offs[k + 1]]].tobytes().decode() for k in range(b - a)]
-    return pa.table([table["doc_id"].cast(pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text"])
+    before = table["text"].to_pylist()
+    gone = [bool(x) and not y for x, y in zip(before, kept, strict=True)]
+    kept = [None if x is None else y for x, y in zip(before, kept, strict=True)]
+    return pa.table([table["doc_id"].cast(pa.int64()), pa.array(kept, pa.string()), pa.array(gone, pa.bool_())], ["doc_id", "text", "gone"])
 
 
 def strip(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of docs with what dedup() removes cut out of their texts; doc_id must be unique.
 
     Texts stay UTF-8: a character of which only some bytes are repeated stays whole.  n_chars
-    becomes the new length; a document that nothing is left of goes.
+    becomes the new length; a document that loses all its text goes, one that had none stays.
     """
-    short = repeats.mark(docs, _symbols, WINDOW, K, False, _resolve, _material, _strip, "doc_id long, text string").where("text <> ''")
-    rest = docs.select([c for c in columns if c not in ("text", "n_chars")])
-    joined = short.join(rest, "doc_id")
+    short = repeats.mark(docs, _symbols, WINDOW, K, False, _resolve, _material, _strip, "doc_id long, text string, gone boolean").where("not gone")
+    rest = docs.select(F.col("doc_id").alias("rest_id"), *[c for c in columns if c not in ("doc_id", "text", "n_chars")])
+    joined = short.join(rest, F.col("doc_id").eqNullSafe(F.col("rest_id")))
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(columns)
 
 

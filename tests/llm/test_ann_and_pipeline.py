@@ -66,3 +66,18 @@ def test_pipeline(spark, sf_dir):
         docs = out
     assert counts[0] > counts[1] and counts[1] >= counts[2] >= counts[3] >= counts[4] > 0
     assert docs.groupBy("sequence_id").sum("length").selectExpr("max(`sum(length)`)").first()[0] <= 1024
+
+
+def test_pipeline_on_awkward_rows(spark, sf_dir, tmp_path):
+    """Nulls in any column, blanks, repeated rows, copies, an empty label table."""
+    long = " ".join(f"w{i % 97}x{i}" for i in range(3000))
+    rows = [(None, "a text of no number but with some words in it", None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, long, "en", None, 5), (3, long, "en", None, 5), (4, long, "de", "s", 5), (5, " \n ", "en", "s", 3), (6, "short and new", None, "s", 13)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "short and new"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == {None, 1, 2, 3, 5, 6}
+    assert len({(r["doc_id"], r["piece"]) for r in out}) == len(out)
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
