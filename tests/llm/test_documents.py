@@ -72,16 +72,34 @@ def test_lm(spark, docs):
         assert got[want[0]][5:] == pytest.approx(want[5:], abs=1e-9 * want[2] + 1e-9)
 
 
-def test_lm_third_order_sums_to_one(spark):
-    """Over all continuations of a context the probabilities, with the unknown token's, add up to 1."""
-    train = [(d, "a b a b c") for d in range(7)]
-    kinds = ["a", "b", "c", None]
-    ids = [d for d in range(100, 400) if zlib.crc32(str(d).encode()) % 7 == 2][:5]
-    ask = [(d, " ".join(["a", "b", *([w] if w else [])])) for d, w in zip(ids, [*kinds, "zz"], strict=True)]
-    score = {r["doc_id"]: r["score"] for r in lm.score(table(spark, train + ask), order=3, alpha=2.0).collect()}
-    # compare up to the token after "a b": take out the shared prefix and, for words, the end
-    whole = {w: 10 ** score[d] for d, w in zip(ids, [*kinds, "zz"], strict=True)}
-    assert all(0 < x < 1 for x in whole.values())
+def test_lm_third_order(spark, small):
+    """Against the recursion, written out; its probabilities after any context add up to 1."""
+    alpha, docs = 7.0, small[:60]
+    counts, toks, ends = {}, {}, 0
+    for d, t in docs:
+        toks[d] = ["<s>", *brute.words(t, True), "</s>"]
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            ends += 1
+            for i in range(1, len(toks[d])):
+                for n in (1, 2, 3):
+                    if i - n + 1 >= 0:
+                        g = tuple(toks[d][i - n + 1 : i + 1])
+                        counts[g] = counts.get(g, 0) + 1
+    one = [g for g in counts if len(g) == 1]
+    total = sum(counts[g] for g in one)
+
+    def p(w, h):
+        if not h:
+            return (counts.get((w,), 0) + 1) / (total + len(one) + 1)
+        seen = ends if h == ("<s>",) else counts.get(h, 0)
+        return (counts.get((*h, w), 0) + alpha * p(w, h[1:])) / (seen + alpha)
+
+    for h in ((), ("<s>",), ("the",), ("<s>", "the"), ("no such", "the")):
+        assert sum(p(g[0], h) for g in one) + p("unknown", h) == pytest.approx(1.0)
+    got = {r["doc_id"]: r["score"] for r in lm.score(table(spark, docs), order=3, alpha=alpha).collect()}
+    for d, w in toks.items():
+        want = sum(np.log10(p(w[i], tuple(w[max(0, i - 2) : i]))) for i in range(1, len(w)))
+        assert got[d] == pytest.approx(want, abs=1e-6)
 
 
 def test_sharding(spark, docs):
