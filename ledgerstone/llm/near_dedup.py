@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerstone.llm.blocks import U, Rolling, chunks, mix, word_hashes, words
-from ledgerstone.llm.common import cut, drop
+from ledgerstone.llm.blocks import U, Rolling, chunks, mix, tidy, word_hashes, words
+from ledgerstone.llm.common import cut, drop, width
 from ledgerstone.llm.repeats import NO_ID
 
 BINS, ROWS = 128, 4
@@ -174,6 +174,8 @@ def _grouped(dealt: DataFrame, keys: tuple[str, str, str], handle) -> DataFrame:
             table = pa.Table.from_batches([batch]) if rest is None or not len(rest) else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             if len(table):
                 out, rest = settle(table.combine_chunks(), False)
+                del table, batch
+                tidy()
                 yield out
         if rest is not None and len(rest):
             yield settle(rest.combine_chunks(), True)[0]
@@ -211,18 +213,20 @@ def _alike(left: DataFrame, percent: int, best: bool) -> DataFrame:
     def handle(table: pa.Table) -> list[tuple[int, int]]:
         key, n, part = (table[c].to_numpy() for c in ("key", "n", "component"))
         mins = np.frombuffer(b"".join(table["mins"].to_pylist()), np.uint8).reshape(len(table), -1)
-        same = np.zeros((len(key), len(key)), np.int16)
-        for k in range(0, mins.shape[1], 16):
-            same += (mins[:, None, k : k + 16] == mins[None, :, k : k + 16]).sum(2, dtype=np.int16)
-        small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
-        samples = BINS * (1 - np.exp(-small / BINS))  # bins that have a shingle of their own
-        t = percent / 100
-        ok = (100 * small >= percent * large) & (part[:, None] != part) & (same / BINS >= t - SIGMAS * np.sqrt(t * (1 - t) / samples))
+        t, ok, likeliest = percent / 100, np.zeros((len(key), len(key)), bool), np.zeros(len(key), np.int64)
+        for lo in range(0, len(key), 128):  # some rows at a time: the comparison takes 16 bytes a pair
+            r = slice(lo, lo + 128)
+            same = np.zeros((len(key[r]), len(key)), np.int16)
+            for k in range(0, mins.shape[1], 16):
+                same += (mins[r, None, k : k + 16] == mins[None, :, k : k + 16]).sum(2, dtype=np.int16)
+            small, large = np.minimum(n[r, None], n), np.maximum(n[r, None], n)
+            samples = BINS * (1 - np.exp(-small / BINS))  # bins that have a shingle of their own
+            ok[r] = (100 * small >= percent * large) & (part[r, None] != part) & (same / BINS >= t - SIGMAS * np.sqrt(t * (1 - t) / samples))
+            likeliest[r] = np.where(ok[r], same, -1).argmax(1)
         if not best:
             return _forest(ok, key.tolist())
-        at = np.where(ok, same, -1).argmax(1)
         key = key.tolist()
-        return [(min(key[x], key[y]), max(key[x], key[y])) for x, y in enumerate(at.tolist()) if ok[x, y] and key[x] != key[y]]
+        return [(min(key[x], key[y]), max(key[x], key[y])) for x, y in enumerate(likeliest.tolist()) if ok[x, y] and key[x] != key[y]]
 
     return _grouped(_dealt(left, "bucket", "size", BLOCK, ["key", "n", "component", "mins"]), ("bucket", "i", "j"), handle)
 
@@ -257,23 +261,33 @@ def _inside(families: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(key, component): the smallest key reachable over links (a, b), a <> b, for keys that have a link."""
+    spark = links.sparkSession
+    few = lambda df, n: df.coalesce(max(8, min(width(spark), n // 50_000)))  # noqa: E731  no flood of tiny files
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    seen = None
+    rows, seen = e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = cut(small, "links")
+        after = cut(few(small, rows), "links")
         drop(e)
         e = after
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h"), F.countDistinct("u").alias("d")).first()
-        if now["n"] == now["d"] and now == seen:
+        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        rows = now["n"]
+        if now == seen:  # a whole round changed nothing: all are stars
             return e.select(F.col("u").alias("key"), F.col("v").alias("component"))
         seen = now
 
 
+def _all_components(found: list[DataFrame]) -> DataFrame:
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return components(every)
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per input row.
 
@@ -288,16 +302,23 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     real = sketch.where("n > 0")
     node = real.groupBy("h1", "h2", "n").agg(F.min("key").alias("node"))
     nodes = real.join(node.select(F.col("node").alias("key")).distinct(), "key", "left_semi")
-    rows = nodes.select("key", "n", F.explode("bands").alias("bucket")).distinct()
+    rows = nodes.select("key", "n", F.posexplode("bands").alias("band", "bucket")).distinct()
     hubs = rows.groupBy("bucket").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(rows.join(hubs, "bucket"), "members")
     asked = members.select("key").distinct()
-    sets = cut(_sets(d.join(asked, "key", "left_semi").distinct(), k), "sets")
+    wanted = d.join(asked, "key", "left_semi")
+    if sketch.groupBy("key").count().where("count > 1").limit(1).count():
+        wanted = wanted.distinct()  # only repeated rows make the shuffle of texts worth it
+    sets = cut(_sets(wanted, k), "sets")
 
     star = members.where("key <> hub").groupBy("key").agg(F.min("hub").alias("a")).select("a", F.col("key").alias("b"))
     links = cut(_confirm(star, sets, percent), "confirmed")
-    label = components(links)
     found = [links]
+    # until links are joined into components, a member's centre and that one's own stand for them
+    centre = links.select(F.col("b").alias("key"), F.col("a").alias("one"))
+    two = links.select(F.col("b").alias("one"), F.col("a").alias("two"))
+    label = cut(centre.join(two, "one", "left").groupBy("key").agg(F.min(F.coalesce("two", "one")).alias("component")), "label")
+    joined = False
 
     def labelled(table: DataFrame) -> DataFrame:
         return table.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -307,7 +328,11 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         now = labelled(members)
         open_ = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         left = now.join(open_, "bucket", "left_semi").join(sketch.select("key", "mins").distinct(), "key")
+        if best:  # likely partners share many bands: a quarter of them shows them
+            left = left.where(F.col("band") < BINS // ROWS // 4)
         pairs = cut(_alike(left, percent, best).distinct(), "pairs")
+        if not pairs.limit(1).count():
+            continue
         if best:
             more = cut(_confirm(pairs.join(star, ["a", "b"], "left_anti"), sets, percent), "confirmed")
         else:
@@ -315,12 +340,11 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             family = family.unionByName(family.select(F.col("family").alias("key"), "family").distinct())
             size = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
             more = cut(_inside(labelled(family.join(size, "family")).join(sets, "key"), percent).distinct(), "confirmed")
-        if more.limit(1).count():
+        if more.limit(1).count() or (best and not joined):
             found.append(more)
-            every = found[0]
-            for x in found[1:]:
-                every = every.unionByName(x)
-            label = components(every)
+            label, joined = _all_components(found), True
+    if not joined:
+        label = _all_components(found)
     out = sketch.select("key", "n", "h1", "h2").join(node, ["h1", "h2", "n"], "left").join(label.select(F.col("key").alias("node"), "component"), "node", "left")
     of_row = out.select("key", "n", F.coalesce("component", "node", "key").alias("of"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
