@@ -3,7 +3,8 @@
 A text becomes a template: numbers, names and units turn into typed placeholders.  Templates are
 compared by hashed windows of `WINDOW` tokens in a hash join, and a window counts only if its
 slots are consistent: two slots hold one value in the document exactly if the same two do in the
-benchmark item.  So a question is found again with other numbers or names in it.
+benchmark item.  So a question is found again with other numbers or names in it.  A capitalised
+word that opens a sentence may be a name or not, so a template has two forms, one for each.
 
 A document is contaminated by an item if at least `COVERAGE` of the item's windows are found in
 it.  Everything here is built-in DataFrame functions.
@@ -11,6 +12,8 @@ it.  Everything here is built-in DataFrame functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ WINDOW = 8
 COVERAGE = 0.5
 # Windows of the benchmark up to which their hashes are broadcast (some 16 bytes each); beyond, the join shuffles.
 BROADCAST_WINDOWS = 200_000
+# Places of hits up to which they are broadcast (8 bytes each); beyond, the join shuffles.
+BROADCAST_PLACES = 1_000_000
 # Units of measure, as lower-case words.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "a", "j", "kj", "n", "pa", "kpa", "k", "c", "f", "in", "ft", "yd", "mi", "oz", "lb", "gal", "mph", "inch", "inches", "feet", "foot", "yards", "miles", "mile", "meter", "meters", "metre", "metres", "kilometers", "kilometres", "gram", "grams", "kilogram", "kilograms", "liter", "liters", "litre", "litres", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "cent", "cents", "euro", "euros", "pound", "pounds", "percent", "degree", "degrees"]
 NUMBER, NAME, UNIT = "@d", "@n", "@u"
@@ -39,7 +44,7 @@ def words_of(text: Column) -> Column:
 
 
 def template(tokens: Column) -> Column:
-    """Tokens in lower case, numbers, names and units as placeholders."""
+    """Tokens in lower case, numbers, names and units as placeholders; a word that opens a sentence is no name."""
     digit = lambda x: F.ltrim(x, F.lit("¶")).substr(1, 1).between("0", "9")
 
     def typed(tokens: Column, x: Column, i: Column) -> Column:
@@ -47,7 +52,7 @@ def template(tokens: Column) -> Column:
         after_number = (i > 0) & digit(F.element_at(tokens, F.greatest(i, F.lit(1))))
         return (
             F.when(digit(x), NUMBER)
-            .when(after_number & F.array_contains(F.array(*[F.lit(u) for u in UNITS]), plain), UNIT)
+            .when(plain.isin(UNITS) & after_number, UNIT)
             .when(~x.startswith("¶") & (x.substr(1, 1) != F.lower(x.substr(1, 1))), NAME)
             .otherwise(plain)
         )
@@ -55,14 +60,36 @@ def template(tokens: Column) -> Column:
     return _let(tokens, lambda tokens: F.transform(tokens, lambda x, i: typed(tokens, x, i)))
 
 
+def _opened(tokens: Column, t: Column) -> Column:
+    """The second form of a template: a capitalised word that opens a sentence is a name too."""
+
+    def typed(x: Column, y: Column) -> Column:
+        first = F.ltrim(x, F.lit("¶")).substr(1, 1)
+        return F.when(x.startswith("¶") & (first != F.lower(first)) & (y != UNIT), NAME).otherwise(y)
+
+    return F.zip_with(tokens, t, typed)
+
+
+def _forms(tokens: Column, words: bool = True) -> Column:
+    """w, t, o: the words in lower case (if asked for), their template and its second form."""
+    both = lambda x: F.struct(*([_lowered(x["w"]).alias("w")] if words else []), x["t"].alias("t"), _opened(x["w"], x["t"]).alias("o"))
+    return _let(tokens, lambda w: _let(F.struct(w.alias("w"), template(w).alias("t")), both))
+
+
 def _windows(t: Column, window: int) -> Column:
-    """Hashes of all windows; a shorter text has none."""
+    """Hashes of all windows, each of two shorter windows' hashes; a shorter text has none."""
 
-    def hashes(t: Column) -> Column:
-        n = F.size(t)
-        return F.when(n >= window, F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(t, i, F.lit(window))))).otherwise(F.array().cast("array<bigint>"))
+    def joined(t: Column, by: int) -> Column:
+        n = lambda t: F.greatest(F.size(t) - by, F.lit(0))
+        return _let(t, lambda t: F.zip_with(F.slice(t, F.lit(1), n(t)), F.slice(t, F.lit(by + 1), n(t)), lambda x, y: F.xxhash64(x, y)))
 
-    return _let(t, hashes)
+    if window == 1:
+        return F.transform(t, lambda x: F.xxhash64(x))
+    span = 1
+    while span < window:
+        by = min(span, window - span)
+        t, span = joined(t, by), span + by
+    return t
 
 
 def _pattern(template_window: Column, words: Column) -> Column:
@@ -74,30 +101,65 @@ def _lowered(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.lower(F.ltrim(x, F.lit("¶"))))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _marks(x: Column, span: int, window: int) -> Column:
+    """span, n, hs: the hashes of a document's n windows, form after form; null where the second form is the first."""
+
+    def hashes(h: Column) -> Column:
+        other = F.zip_with(h["t"], h["o"], lambda t, o: F.when(t != o, o))
+        return F.struct(F.lit(span).alias("span"), F.size(h["t"]).alias("n"), F.concat(h["t"], other, *([h["w"]] if span < window else [])).alias("hs"))
+
+    return _let(F.struct(*[_windows(x[c], span).alias(c) for c in ("t", "o", *(["w"] if span < window else []))]), hashes)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage): for each pair that shares a consistent window.
 
-    Items shorter than `window` tokens are compared nowhere; null texts are empty; null ids are
-    ids of their own.  Repeated rows of one id count once.  Other columns are ignored.
+    A window is found if document and item agree in one form.  n_windows counts those of the first
+    form if they reach `coverage`, else those of any form.  An item shorter than `window` tokens is
+    one window of its own length; if it is nothing but slots, its words themselves are compared.
+    An item without tokens is compared nowhere; null texts are empty; null ids are ids of their own.
+    Repeated rows of one id count once.  Other columns are ignored.
     """
-    b = benchmark.select("item_id", words_of(F.col("text")).alias("w")).select("item_id", _lowered(F.col("w")).alias("w"), template(F.col("w")).alias("t"))
-    items = b.select("item_id", "w", "t", F.posexplode(_windows(F.col("t"), window)).alias("at", "h"))
-    part = lambda c, at: F.slice(F.col(c), F.col(at) + 1, F.lit(window))
-    items = cut(items.select("item_id", "at", "h", _pattern(part("t", "at"), part("w", "at")).alias("slots")).distinct(), "items")
-    hashes = items.select("h").distinct()
-    if hashes.count() <= BROADCAST_WINDOWS:
-        hashes = F.broadcast(hashes)
-    d = docs.select("doc_id", words_of(F.col("text")).alias("w"))
-    hits = cut(d.select("doc_id", F.posexplode(_windows(template(F.col("w")), window)).alias("place", "h")).join(hashes, "h").groupBy("doc_id").agg(F.collect_set("place").alias("places")), "hits")
-    found = docs.select("doc_id", "text").join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "inner").select(docs["doc_id"].alias("doc_id"), words_of(F.col("text")).alias("w"), "places")
-    found = found.select("doc_id", _lowered(F.col("w")).alias("w"), template(F.col("w")).alias("t"), "places")
-    cell = lambda x, i: F.struct(F.xxhash64(F.slice(x["t"], i + 1, F.lit(window))).alias("h"), _pattern(F.slice(x["t"], i + 1, F.lit(window)), F.slice(x["w"], i + 1, F.lit(window))).alias("slots"))
-    found = found.select("doc_id", F.explode(_let(F.struct("t", "w", "places"), lambda x: F.transform(x["places"], lambda i: cell(x, i)))).alias("x")).select("doc_id", "x.h", "x.slots").distinct()
-    pairs = found.join(items, ["h", "slots"]).groupBy("doc_id", "item_id").agg(F.countDistinct("at").cast("long").alias("n_windows"))
-    total = items.groupBy("item_id").agg(F.countDistinct("at").cast("long").alias("item_windows"))
-    return pairs.join(total, pairs["item_id"].eqNullSafe(total["item_id"])).select("doc_id", pairs["item_id"].alias("item_id"), "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
+    b = benchmark.select("item_id", _forms(words_of(F.col("text"))).alias("x")).select("item_id", "x.*")
+    n = F.size("w")
+    short = sorted(r["n"] for r in b.where((n > 0) & (n < window)).select(n.alias("n")).distinct().collect())  # fewer than `window` rows
+    part = lambda c, at, span: F.slice(c, at + 1, span)
+
+    def items_of(span: int, form: int, c: str) -> DataFrame:
+        bare = F.lit(span < window) & ~F.exists(F.col(c), lambda x: ~x.isin(NUMBER, NAME, UNIT))
+        own = b.where(n >= window if span == window else n == span).select("item_id", "w", F.when(bare, F.col("w")).otherwise(F.col(c)).alias("c"), F.when(bare, 0).otherwise(form).alias("form"))
+        own = own.select("*", F.posexplode(_windows(F.col("c"), span)).alias("at", "probe"))
+        c, w = (part(F.col(x), F.col("at"), F.lit(span)) for x in ("c", "w"))
+        return own.select("item_id", "at", "probe", "form", F.xxhash64(c).alias("h"), _pattern(c, w).alias("slots"))
+
+    items = [items_of(span, form, c) for span in (window, *short) for form, c in ((1, "t"), (2, "o"))]
+    items = cut(reduce(DataFrame.unionByName, items).distinct(), "items")
+    probes = items.select("probe").distinct()
+    if probes.count() <= BROADCAST_WINDOWS:
+        probes = F.broadcast(probes)
+    d = docs.select("doc_id", _let(_forms(words_of(F.col("text")), bool(short)), lambda x: F.array(*[_marks(x, span, window) for span in (window, *short)])).alias("m"))
+    # Outer, for the optimizer would evaluate what a plain generator takes a second time, as a filter; null probes join nothing.
+    d = d.select("doc_id", F.inline_outer("m")).select("doc_id", "span", "n", F.posexplode_outer("hs").alias("at", "probe"))
+    hits = d.join(probes, "probe").groupBy("doc_id").agg(F.collect_set(F.col("at") % F.col("n") * F.lit(window + 1).cast("long") + F.col("span")).alias("places"))
+    hits = cut(hits, "hits")
+    if (hits.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES:
+        hits = F.broadcast(hits)
+    found = docs.select("doc_id", "text").join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "inner").select(docs["doc_id"].alias("doc_id"), _forms(words_of(F.col("text"))).alias("x"), "places")
+
+    def cell(x: Column, place: Column, form: int, c: str) -> Column:
+        c, w = (part(x[k], F.call_function("div", place, F.lit(window + 1)).cast("int"), (place % (window + 1)).cast("int")) for k in (c, "w"))
+        return F.struct(F.lit(form).alias("form"), F.xxhash64(c).alias("h"), _pattern(c, w).alias("slots"))
+
+    forms = [(1, "t"), (2, "o"), *([(0, "w")] if short else [])]
+    found = found.select("doc_id", F.explode_outer(_let(F.struct("x", "places"), lambda y: F.flatten(F.transform(y["places"], lambda p: F.array(*[cell(y["x"], p, form, c) for form, c in forms]))))).alias("y")).select("doc_id", "y.*").distinct()
+    count = lambda c: F.countDistinct(c).cast("long")
+    pairs = found.join(items, ["form", "h", "slots"]).groupBy("doc_id", "item_id").agg(count(F.when(F.col("form") == 1, F.col("at"))).alias("first"), count("at").alias("any"))
+    total = items.groupBy("item_id").agg(count("at").alias("item_windows"))
+    of = F.when(F.col("first") / F.col("item_windows") >= coverage, F.col("first")).otherwise(F.col("any"))
+    pairs = pairs.join(total, pairs["item_id"].eqNullSafe(total["item_id"])).select("doc_id", pairs["item_id"].alias("item_id"), of.alias("n_windows"), "item_windows")
+    return pairs.select("*", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The pairs of contamination() that reach `coverage`."""
-    return contamination(docs, benchmark).where(F.col("coverage") >= coverage)
+    return contamination(docs, benchmark, coverage=coverage).where(F.col("coverage") >= coverage)

@@ -228,6 +228,15 @@ def test_decontamination(spark, sf_dir):
     assert found >= {(x["doc_id"], y["item_id"]) for x in d.collect() for y in b.collect() if y["text"] in x["text"]}
 
 
+def test_decontamination_of_sentence_openers_and_short_items(spark):
+    q = "Tom has 5 apples. Tom buys 3 more. Tom eats 2 of them. How many apples are left?"
+    docs = [(1, "Intro. " + q.replace("Tom", "Alice")), (2, q.replace("Tom buys", "Ann buys")), (3, "he asked What is 7 plus 7 and left"), (4, "What is 7 plus 8?"), (5, "I saw Paris and Rome"), (6, "I saw Rome")]
+    bench = table(spark, [(1, q), (2, "What is 2 plus 2?"), (3, "Paris"), (4, " . ")]).withColumnRenamed("doc_id", "item_id")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contamination(table(spark, docs), bench).collect()}
+    assert got.pop((2, 1)) < 1.0  # two names in place of one: windows with both are inconsistent
+    assert got == {(1, 1): 1.0, (3, 2): 1.0, (5, 3): 1.0}
+
+
 def test_quality(spark, sf_dir):
     d, l = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet")
     truth = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in l.collect()}
