@@ -5,7 +5,7 @@ histogram of at most `capacity` rows, whatever its size; that, and nothing else,
 driver.  Bins of equal content are one pattern with a multiplicity.  Best-fit decreasing gives
 the first patterns, then the local search takes the emptiest bin and lets other bins exchange
 one document for one, two for one, or accept a move, each step increasing the sum of squared
-fills, until the bin is empty; steps apply to as many equal bins as possible at once.
+fills, until no step is left; steps apply to as many equal bins as possible at once.
 
 The patterns then turn into intervals of ranks: the r-th piece of length L goes where the
 interval that holds r says.  Ranks are gapless numbers per length, counted without one task
@@ -135,38 +135,34 @@ def _best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return sum(room.values(), Counter())
 
 
-def _search(bins: Counter, capacity: int, tries: int = 4000) -> dict[tuple[int, ...], int]:
-    """Empty the least filled bins by moves and exchanges that increase the sum of squared fills.
+def _search(bins: Counter, capacity: int) -> dict[tuple[int, ...], int]:
+    """Drain the least filled bins by moves and exchanges that increase the sum of squared fills.
 
-    `tries` bounds the bins that are taken up; it bounds driver work and drops nothing.
+    Each step applies to as many equal pairs of source and target as there are.  The search ends
+    when no bin can go, or when a pass over all patterns that are not full finds no step.
     """
     fill = lambda p: sum(p)
-    total = sum(fill(p) * n for p, n in bins.items())
-    done: set[tuple[int, ...]] = set()
-    for _ in range(tries):
-        if sum(bins.values()) * capacity - total < capacity:  # no bin can go
-            break
-        loose = [p for p, n in bins.items() if n and fill(p) < capacity and p not in done]
-        if not loose:
-            break
-        source = min(loose, key=lambda p: (fill(p), p))
-        trial, rest = Counter(bins), source
-        trial[source] -= 1
-        trial += Counter()
-        steps = 0
-        while rest and steps < 200:
-            found = _improve(trial, rest, capacity)
-            if found is None:
+    bins = Counter(bins)
+    least = -(-sum(fill(p) * n for p, n in bins.items()) // capacity)
+    changed = True
+    while changed:
+        changed = False
+        done: set[tuple[int, ...]] = set()
+        while sum(bins.values()) > least:
+            source = min((p for p in bins if fill(p) < capacity and p not in done), key=lambda p: (fill(p), p), default=None)
+            if source is None:
                 break
+            found = _improve(bins - Counter([source]), source, capacity)
+            if found is None:
+                done.add(source)
+                continue
+            changed = True
             target, new, rest = found
-            trial[target] -= 1
-            trial[new] += 1
-            trial += Counter()
-            steps += 1
-        if rest:
-            done.add(source)
-        else:
-            bins = trial
+            times = bins[source] // 2 if target == source else min(bins[source], bins[target])
+            for pattern, change in ((source, -times), (target, -times), (new, times), (rest, times)):
+                bins[pattern] += change
+            del bins[()]
+            bins += Counter()
     return dict(bins)
 
 
@@ -174,11 +170,11 @@ def _improve(bins: Counter, rest: tuple[int, ...], capacity: int):
     """One step that fills another bin further at the cost of `rest`: (that bin, its new pattern, the new rest)."""
     swap = lambda p, out, into: tuple(sorted([*_less(p, out), *into], reverse=True))
     open_bins = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (-sum(p), p))
+    low = sum(rest)
     for x in rest:  # move one document
         for p in open_bins:
-            if sum(p) + x <= capacity:
+            if low < sum(p) + x <= capacity:
                 return p, swap(p, (), (x,)), _less(rest, (x,))
-    low = sum(rest)
     best = None
     for p in open_bins:
         free = capacity - sum(p)

@@ -199,6 +199,15 @@ def test_local_search_empties_bins():
     assert packing.plan({}, 100) == {}
 
 
+def test_local_search_takes_equal_bins_at_once():
+    """Of best fit's 110,000 bins more than 4,000 can go; one at a time is no way to get there."""
+    lengths = {513: 60_000, 258: 60_000, 257: 60_000, 254: 120_000}
+    bins = packing.plan(lengths, 1024)
+    assert sum(bins.values()) <= 105_000
+    got = {x: sum(p.count(x) * n for p, n in bins.items()) for x in lengths}
+    assert got == lengths and max(map(sum, bins)) <= 1024
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"]
     docs = [(1, None), (2, ""), (3, f"code é\n// {mit}.\nmore"), (4, f"Released under the nice MIT License. {mit} {mit}"), (5, "Licensed under CC BY-NC 4.0."), (6, "licensed but not under anything"), (3, mit)]
