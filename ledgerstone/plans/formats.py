@@ -197,6 +197,20 @@ def import_nonzero_blocks(spark, d):
 
 both("import_progress", f"WITH {WAL} SELECT {B('floor(seq*100/1000.0)')} AS pct, min(seq) AS first_block FROM wal WHERE seq <= 1000 GROUP BY {B('floor(seq*100/1000.0)')}")
 
+
+@query("import_log_nonzero_blocks", f"WITH {WAL}, img AS (SELECT seq, block, {DATA} AS data FROM wal) SELECT block, {B('floor(block/4096.0)')} AS batch, data FROM img WHERE data <> repeat('00', 16)")
+def import_log_nonzero_blocks(spark, d):
+    """The whole log, an image a drain, split again; blocks of zeros are not imported."""
+    r = records(spark, d)
+    image = chunks.assemble(r.select("gen", F.col("seq").alias("slot"), "data"), ["gen"])
+    blocks = r.groupBy("gen").agg(F.array_sort(F.collect_list(F.struct("seq", "block"))).alias("blocks"))
+    cut = F.transform(F.col("blocks"), lambda x, i: F.struct(x["block"].alias("block"), F.substring(F.col("body"), i * SMALL + 1, F.lit(SMALL)).alias("data")))
+    kept = image.join(blocks, "gen").select(F.inline(cut)).where(F.col("data") != F.unhex(F.lit("00" * SMALL)))
+    return hexed(kept.select("block", div(F.col("block"), 4096).alias("batch"), "data"), "data")
+
+
+both("import_log_progress", f"WITH {WAL}, r AS (SELECT seq, seq*100 AS part, (SELECT count(*) FROM wal) AS n FROM wal) SELECT {B('(part - part % n) / n')} AS pct, min(seq) AS first_block FROM r GROUP BY {B('(part - part % n) / n')}")
+
 # ---- metadata -------------------------------------------------------------------------------
 
 

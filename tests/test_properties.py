@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerstone import catalog
 from ledgerstone.functions import codec
 from ledgerstone.operators import extents, gc, log, snapshots
 from ledgerstone.plans import fixtures as fx
@@ -83,6 +84,13 @@ def test_strict_checkpoint(spark, sf_dir):
     assert spark.createDataFrame([(bytes(bad["bad magic"]),)], "content binary").select(codec.map_fault(F.col("content"))).first()[0] == "bad magic"
 
 
+def test_import_of_the_whole_log(spark, sf_dir):
+    w = fx.wal(spark, sf_dir)
+    q = catalog.queries()
+    assert q["import_log_nonzero_blocks"](spark, sf_dir).count() == w.where("block % 7 <> 0").count()
+    assert {r["pct"] for r in q["import_log_progress"](spark, sf_dir).collect()} == set(range(101))
+
+
 def test_readers(spark, tmp_path):
     rec = spark.range(3).select(codec.wal_record(F.col("id") + 1, F.col("id") * 2, F.unhex(F.lit("00ff10ab"))).alias("r")).collect()
     header = codec.WAL_MAGIC + b"\0\1" + (4).to_bytes(4, "big") + bytes(8)
