@@ -48,6 +48,12 @@ def src_ranged_read(spark, d):
     return fx.table(spark, d, "documents").where(F.length("text") == F.octet_length("text")).select("doc_id", F.sha2(part, 256).alias("digest"))
 
 
+@query("src_ranged_read_bytes", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN sha256(encode(text)) ELSE sha256(encode(text)[doc_id % 50 + 1 : doc_id % 50 + 64]) END AS digest FROM documents")
+def src_ranged_read_bytes(spark, d):
+    part = blocklog.ranged(F.col("text").cast("binary"), (F.col("doc_id") % 50).cast("int"), F.when(F.col("doc_id") % 4 == 0, 0).otherwise(64))
+    return fx.table(spark, d, "documents").select("doc_id", F.sha2(part, 256).alias("digest"))
+
+
 @query("src_short_read_check", "SELECT doc_id, greatest(0, strlen(text) - 100) < 200 AS short FROM documents")
 def src_short_read_check(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", blocklog.short_read(F.col("text").cast("binary"), F.lit(100), F.lit(200)).alias("short"))

@@ -1,5 +1,7 @@
 """Properties that the semantics promise."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,13 @@ def test_import_of_the_whole_log(spark, sf_dir):
     assert {r["pct"] for r in q["import_log_progress"](spark, sf_dir).collect()} == set(range(101))
 
 
+def test_ranged_read_of_every_document(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in fx.table(spark, sf_dir, "documents").collect()}
+    at = lambda d, b: b if d % 4 == 0 else b[d % 50 : d % 50 + 64]
+    want = {d: None if t is None else hashlib.sha256(at(d, t.encode())).hexdigest() for d, t in docs.items()}
+    assert dict(rows(catalog.queries()["src_ranged_read_bytes"](spark, sf_dir))) == want
+
+
 def test_readers(spark, tmp_path):
     rec = spark.range(3).select(codec.wal_record(F.col("id") + 1, F.col("id") * 2, F.unhex(F.lit("00ff10ab"))).alias("r")).collect()
     header = codec.WAL_MAGIC + b"\0\1" + (4).to_bytes(4, "big") + bytes(8)
