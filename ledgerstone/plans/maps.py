@@ -144,6 +144,11 @@ def persisted_info(spark, d):
     return fx.blockmap(spark, d).where("block % 4 = 1").select("block", "object_id", "object_offset", "seq")
 
 
+@query("persisted_info_all", f"WITH {BM} SELECT block, object_id, object_offset, seq FROM bm")
+def persisted_info_all(spark, d):
+    return fx.blockmap(spark, d).select("block", "object_id", "object_offset", "seq")
+
+
 @query("persisted_load", f"WITH {BM}, new_ AS (SELECT block, seq + CASE WHEN block % 2 = 0 THEN 0 ELSE -1 END AS seq, CAST(999 AS BIGINT) AS object_id FROM bm) SELECT b.block, CASE WHEN n.seq >= b.seq THEN n.object_id ELSE b.object_id END AS object_id, greatest(n.seq, b.seq) AS seq FROM bm b JOIN new_ n ON b.block = n.block")
 def persisted_load(spark, d):
     """The single form of a load replaces a version that is equal or older."""

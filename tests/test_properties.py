@@ -100,6 +100,10 @@ def test_ranged_read_of_every_document(spark, sf_dir):
     assert dict(rows(catalog.queries()["src_ranged_read_bytes"](spark, sf_dir))) == want
 
 
+def test_persisted_info_of_every_block(spark, sf_dir):
+    assert catalog.queries()["persisted_info_all"](spark, sf_dir).count() == fx.wal(spark, sf_dir).select("block").distinct().count()
+
+
 def test_readers(spark, tmp_path):
     rec = spark.range(3).select(codec.wal_record(F.col("id") + 1, F.col("id") * 2, F.unhex(F.lit("00ff10ab"))).alias("r")).collect()
     header = codec.WAL_MAGIC + b"\0\1" + (4).to_bytes(4, "big") + bytes(8)
