@@ -24,13 +24,17 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    If ids repeat, each differing row of (doc_id, text) is a document of its own, null ids included.
+    """
     ship(spark)
-    kept = near_dedup.link(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id"])  # only repeated rows make another shuffle of texts worth it
-    return stay.select(COLUMNS)
+    node = "doc_id"
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # only repeated ids make another shuffle of texts worth it
+        node = "node"
+        docs = cut(docs.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn(node, F.monotonically_increasing_id()), "nodes")
+    kept = near_dedup.link(docs.select(F.col(node).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs[node].eqNullSafe(kept["kept_id"]), "left_semi").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

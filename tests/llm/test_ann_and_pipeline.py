@@ -81,3 +81,11 @@ def test_pipeline_on_awkward_rows(spark, sf_dir, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_stage_keeps_unlike_texts_of_one_id(spark, sf_dir):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    docs = [(None, a), (None, b), (None, b + " more"), (1, a), (1, c), (1, c), (2, "only here")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, a), (None, b), (1, c), (2, "only here")], key=str)
