@@ -44,8 +44,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item is found in."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("found_id")).distinct()
+    """Documents that no benchmark item is found in; items of fewer than 8 tokens are not looked for."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=False).select(F.col("doc_id").alias("found_id")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left_anti").select(COLUMNS)
 
 

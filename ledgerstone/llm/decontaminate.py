@@ -111,18 +111,19 @@ def _marks(x: Column, span: int, window: int) -> Column:
     return _let(F.struct(*[_windows(x[c], span).alias(c) for c in ("t", "o", *(["w"] if span < window else []))]), hashes)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, short_items: bool = True) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage): for each pair that shares a consistent window.
 
     A window is found if document and item agree in one form.  n_windows counts those of the first
     form if they reach `coverage`, else those of any form.  An item shorter than `window` tokens is
     one window of its own length; if it is nothing but slots, its words themselves are compared.
+    Without `short_items` it is compared nowhere.
     An item without tokens is compared nowhere; null texts are empty; null ids are ids of their own.
     Repeated rows of one id count once.  Other columns are ignored.
     """
     b = benchmark.select("item_id", _forms(words_of(F.col("text"))).alias("x")).select("item_id", "x.*")
     n = F.size("w")
-    short = sorted(r["n"] for r in b.where((n > 0) & (n < window)).select(n.alias("n")).distinct().collect())  # fewer than `window` rows
+    short = sorted(r["n"] for r in b.where((n > 0) & (n < window)).select(n.alias("n")).distinct().collect()) if short_items else []  # fewer than `window` rows
     part = lambda c, at, span: F.slice(c, at + 1, span)
 
     def items_of(span: int, form: int, c: str) -> DataFrame:
@@ -160,6 +161,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     return pairs.select("*", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, short_items: bool = True) -> DataFrame:
     """The pairs of contamination() that reach `coverage`."""
-    return contamination(docs, benchmark, coverage=coverage).where(F.col("coverage") >= coverage)
+    return contamination(docs, benchmark, coverage=coverage, short_items=short_items).where(F.col("coverage") >= coverage)
