@@ -1,15 +1,18 @@
 """Op 8: nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
-The tree is fitted on a bounded sample (`SAMPLE` vectors with the smallest hashes of vec_id, or
-`SAMPLE_VALUES` components in all, whichever is less); every vector is then indexed under the
-leaf it descends to.  A query walks the tree with a priority queue by the distance to each
-node's centre and visits the leaves that come out first.  How many is calibrated: up to
-`PROBES` queries are answered by brute force over all vectors, and the number of visits is
-widened until their neighbours' leaves are reached to `TARGET`.
+The top of the tree is fitted on a bounded sample (`SAMPLE` vectors with the smallest hashes of
+vec_id, or `SAMPLE_VALUES` components in all, whichever is less); every vector is then indexed
+under the leaf it descends to.  A leaf of more than `GROUP` vectors is split again by k-means on a
+bounded sample of its own members, level after level, so leaves keep their size and the tree
+grows with the table; the lower levels are tables, not objects of the driver.  A query walks the
+top with a priority queue by the distance to each node's centre and takes the leaves that come
+out first; below, each level widens the nearest bins and the nearest of all open bins stay.  How
+many is calibrated: up to `PROBES` queries are answered by brute force over all vectors, and the
+number of visits is widened until their neighbours' leaves are reached to `TARGET`.
 
 Equal vectors are one entry with their 11 smallest ids, which is all that a list of 10 can need;
-so a vector that makes up a third of the table weighs as one.  A leaf with many vectors is split
-over salted groups and so are its queries, and no task holds a leaf of unbounded size.
+so a vector that makes up a third of the table weighs as one.  A leaf that many queries visit
+meets them in blocks, so no task holds a leaf or a list of queries of unbounded size.
 """
 
 from __future__ import annotations
@@ -22,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerstone.llm.common import cut
+from ledgerstone.llm.common import cut, drop
 
 SAMPLE, SAMPLE_VALUES = 20_000, 4_000_000
 PROBES, TARGET = 200, 0.97
 BRANCHES, LEAF = 24, 48
-GROUP = 4096
+GROUP = 4096  # vectors or queries of a leaf in one group
+SPLIT, FIT, LEVELS = 32, 2048, 7  # children of a split leaf, members (expected) they are fitted on, levels an id has room for
 
 
 class Tree:
@@ -69,13 +73,13 @@ class Tree:
             names[n] = i
         return names[node]
 
-    def best_first(self, q: np.ndarray, visits: int) -> list[int]:
-        """Leaves in the order a priority queue by distance gives them."""
+    def best_first(self, q: np.ndarray, visits: int) -> list[tuple[float, int]]:
+        """(squared distance, leaf) in the order a priority queue by distance gives them."""
         queue, out = [(0.0, 0)], []
         while queue and len(out) < visits:
-            _, n = heapq.heappop(queue)
+            far, n = heapq.heappop(queue)
             if n in self.leaf_of:
-                out.append(self.leaf_of[n])
+                out.append((far, self.leaf_of[n]))
                 continue
             for d, c in zip(((self.below[n] - q) ** 2).sum(1).tolist(), self.children[n], strict=True):
                 heapq.heappush(queue, (d, c))
@@ -136,21 +140,94 @@ def usable(table: DataFrame) -> DataFrame:
     return good.where(F.size("embedding") == F.lit(top["d"] if top else 0))
 
 
-def search(table: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
+def _split(points: DataFrame, level: int, group: int) -> tuple[DataFrame, DataFrame | None]:
+    """(points with leaves of more than `group` rows split, (leaf, centres) of those); None if there is none.
+
+    A leaf's members are dealt to its children in salted groups, each of which gets the centres.
+    """
+    size = points.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group)
+    if not size.limit(1).count():
+        return points, None
+    mine = points.join(size, "leaf")
+    draw = F.pmod(F.xxhash64(F.element_at("ids", 1), F.lit(level)), F.col("n"))
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = _vectors(t["embedding"].combine_chunks())
+        x = x[np.lexsort(x.T[::-1])]  # whatever order the rows came in
+        centres, _ = _kmeans(x, min(SPLIT, len(x)), np.random.default_rng(level))
+        return pa.table([pa.array([t["leaf"][0].as_py()], pa.int64()), pa.array([centres.tobytes()], pa.binary())], ["leaf", "centres"])
+
+    centres = cut(mine.where(draw < FIT).select("leaf", "embedding").groupBy("leaf").applyInArrow(fit, "leaf long, centres binary"), "centres")
+    salts = F.ceil(F.col("n") / group).cast("int")
+    dealt = mine.withColumn("salt", F.pmod(F.xxhash64(F.element_at("ids", 1)), salts).cast("int")).select("leaf", "salt", "embedding", "ids")
+    each = centres.join(size, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "centres")
+
+    def deal(p: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(p) or not len(c):  # a leaf whose draw was empty stays as it is
+            return p.select(["leaf", "embedding", "ids"])
+        x = _vectors(p["embedding"].combine_chunks())
+        child = _squared(x, np.frombuffer(c["centres"][0].as_py()).reshape(-1, x.shape[1])).argmin(1)
+        return pa.table([pa.array(_child(c["leaf"][0].as_py(), level) + child), p["embedding"], p["ids"]], ["leaf", "embedding", "ids"])
+
+    below = dealt.groupBy("leaf", "salt").cogroup(each.groupBy("leaf", "salt")).applyInArrow(deal, "leaf long, embedding array<double>, ids array<bigint>")
+    rest = points.join(size, "leaf", "left_anti").select("leaf", "embedding", "ids")
+    return cut(rest.unionByName(below), "leaves"), centres
+
+
+def _child(leaf: int, level: int) -> int:
+    """The first child's id: four bits of level, then the path from the top leaf."""
+    return (level << 60) | ((leaf & (1 << 60) - 1) * SPLIT)
+
+
+def _frontier(keyed: DataFrame, tree: Tree, levels: list[DataFrame], visits: int) -> DataFrame:
+    """(leaf, qkey, embedding): the leaves that each query visits."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, n, d) for i, q in enumerate(_vectors(b["embedding"])) for d, n in tree.best_first(q, visits)]
+            row, leaf, dist = (pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.float64())))
+            yield pa.RecordBatch.from_arrays([leaf, dist, b["qkey"].take(row), b["embedding"].take(row)], ["leaf", "dist", "qkey", "embedding"])
+
+    schema = "leaf long, dist double, qkey long, embedding array<double>"
+    open_ = keyed.mapInArrow(walk, schema)
+    for level, centres in enumerate(levels, 1):
+
+        def widen(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                row, leaf, dist = [], [], []
+                for i, (q, n, blob) in enumerate(zip(_vectors(b["embedding"]), b["leaf"].to_pylist(), b["centres"].to_pylist(), strict=True)):
+                    far = _squared(q[None], np.frombuffer(blob).reshape(-1, len(q)))[0]
+                    row += [i] * len(far)
+                    leaf += (_child(n, level) + np.arange(len(far))).tolist()
+                    dist += far.tolist()
+                at = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(dist, pa.float64()), b["qkey"].take(at), b["embedding"].take(at)], ["leaf", "dist", "qkey", "embedding"])
+
+        kept = open_.join(centres.select("leaf"), "leaf", "left_anti")
+        below = open_.join(centres, "leaf").select("leaf", "centres", "qkey", "embedding").mapInArrow(widen, schema)
+        nearest_bins = F.row_number().over(Window.partitionBy("qkey").orderBy("dist", "leaf"))
+        open_ = kept.select("leaf", "dist", "qkey", "embedding").unionByName(below).withColumn("nth", nearest_bins).where(F.col("nth") <= visits).drop("nth")
+    return open_.select("leaf", "qkey", "embedding")
+
+
+def search(table: DataFrame, k: int = 10, every: int = 100, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each row whose vec_id is a multiple of `every`.
 
     Ties go to the smaller vec_id; a row is no candidate of itself, nor are rows of its own vec_id.
     Repeated (vec_id, vector) rows count once; rows of one vec_id with different vectors are each
-    a query and a candidate.  Other columns are ignored; an empty table gives no rows.
+    a query and a candidate.  Other columns are ignored; a table that is empty or has no row to
+    ask for gives no rows.
     """
     spark = table.sparkSession
     good = usable(table)
     schema = "query_id long, rank int, vec_id long, score double"
-    taken = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding")
-    dim = good.select(F.size("embedding").alias("d")).first()
-    if dim is None:
+    queries = good.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    keyed = queries.groupBy("embedding").agg(F.min("query_id").alias("qkey")).select("qkey", "embedding")
+    probes = keyed.orderBy(F.xxhash64("qkey"), "qkey").limit(PROBES).collect()
+    if not probes:
         return spark.createDataFrame([], schema)
-    sample = np.array([r["embedding"] for r in taken.limit(max(k, min(SAMPLE, SAMPLE_VALUES // dim["d"]))).collect()], np.float64)
+    taken = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding")
+    sample = np.array([r["embedding"] for r in taken.limit(max(k, min(SAMPLE, SAMPLE_VALUES // len(probes[0]["embedding"])))).collect()], np.float64)
     tree = Tree(sample)
 
     nth = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
@@ -159,31 +236,19 @@ def search(table: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _vectors(b["embedding"])
-            yield pa.RecordBatch.from_arrays([pa.array(tree.leaves(x) if len(x) else [], pa.int32()), b["embedding"], b["ids"]], ["leaf", "embedding", "ids"])
-
-    points = cut(distinct.mapInArrow(index, "leaf int, embedding array<double>, ids array<bigint>"), "leaves")
-    queries = good.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
-    keyed = queries.groupBy("embedding").agg(F.min("query_id").alias("qkey"))
-    size = {r["leaf"]: r["n"] for r in points.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a leaf
-    probes = keyed.orderBy(F.xxhash64("qkey"), "qkey").limit(PROBES).collect()
-    visits = _calibrate(points, tree, np.array([r["embedding"] for r in probes], np.float64).reshape(len(probes), -1), k)
-    asked = keyed.count()
-    blocks = max(1, -(-asked * visits // max(1, len(size)) // GROUP))
-    salts = {leaf: -(-n // GROUP) for leaf, n in size.items()}
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, keys = _vectors(b["embedding"]), b["qkey"].to_pylist()
-            row, leaf, salt = [], [], []
-            for i, q in enumerate(x):
-                for n in tree.best_first(q, visits):
-                    for s in range(salts.get(n, 0)):
-                        row.append(i)
-                        leaf.append(n)
-                        salt.append(s)
-            at = pa.array(row, pa.int32())
-            block = pa.array([keys[i] // every % blocks for i in row], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(salt, pa.int32()), block, b["qkey"].take(at), b["embedding"].take(at)], ["leaf", "salt", "block", "qkey", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(tree.leaves(x) if len(x) else [], pa.int64()), b["embedding"], b["ids"]], ["leaf", "embedding", "ids"])
+
+    points = cut(distinct.mapInArrow(index, "leaf long, embedding array<double>, ids array<bigint>"), "leaves")
+    levels: list[DataFrame] = []
+    while len(levels) < LEVELS:
+        finer, centres = _split(points, len(levels) + 1, group)
+        if centres is None:
+            break
+        drop(points)
+        points = finer
+        levels.append(centres)
+    asked = spark.createDataFrame([(r["qkey"], r["embedding"]) for r in probes], "qkey long, embedding array<double>")
+    visits = _calibrate(points, tree, levels, asked, np.array([r["embedding"] for r in probes], np.float64), [r["qkey"] for r in probes], k)
 
     def scan(q: pa.Table, p: pa.Table) -> pa.Table:
         keys, ids = q["qkey"].to_pylist(), p["ids"].to_pylist()
@@ -193,10 +258,16 @@ def search(table: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
                 out += [(keys[i], d, v) for d, v in _first(at, dist, ids, k + 1)]
         return pa.table([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.int64()))], ["qkey", "score", "vec_id"])
 
-    salted = points.withColumn("salt", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.greatest(F.lit(1), F.ceil(F.element_at(F.create_map(*[F.lit(x) for kv in (salts or {-1: 1}).items() for x in kv]), F.col("leaf"))))).cast("int"))
-    salted = salted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # (leaf, salt, block): some vectors of a leaf and some of its queries; both are 1 but for what cannot be split and for leaves much asked for
+    front = cut(_frontier(keyed, tree, levels, visits), "frontier")
+    times = lambda c: F.ceil(F.col(c) / group).cast("int")
+    cells = front.groupBy("leaf").agg(F.count(F.lit(1)).alias("q")).join(points.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")), "leaf").select("leaf", times("q").alias("blocks"), times("n").alias("salts"))
     keys = ("leaf", "salt", "block")
-    found = keyed.mapInArrow(visit, "leaf int, salt int, block int, qkey long, embedding array<double>").groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInArrow(scan, "qkey long, score double, vec_id long")
+    one = lambda key, of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
+    all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    mine = front.join(cells, "leaf").withColumn("block", one("qkey", "blocks")).withColumn("salt", all_of("salts")).select(*keys, "qkey", "embedding")
+    theirs = points.join(cells, "leaf").withColumn("salt", one(F.element_at("ids", 1), "salts")).withColumn("block", all_of("blocks")).select(*keys, "embedding", "ids")
+    found = mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(scan, "qkey long, score double, vec_id long")
     order = Window.partitionBy("qkey").orderBy("score", "vec_id")
     best = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth")
     rows = queries.join(keyed, "embedding").select("query_id", "qkey").join(best, "qkey").where(F.col("vec_id") != F.col("query_id"))
@@ -204,10 +275,8 @@ def search(table: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _calibrate(points: DataFrame, tree: Tree, q: np.ndarray, k: int) -> int:
-    """The least number of leaf visits that reaches TARGET of the probes' true neighbours."""
-    if not len(q):
-        return 1
+def _calibrate(points: DataFrame, tree: Tree, levels: list[DataFrame], asked: DataFrame, q: np.ndarray, keys: list[int], k: int) -> int:
+    """The number of leaf visits that reaches TARGET of the probes' true neighbours."""
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[list[tuple[float, int, int]]] = [[] for _ in q]
@@ -217,10 +286,21 @@ def _calibrate(points: DataFrame, tree: Tree, q: np.ndarray, k: int) -> int:
                 for i, at, dist in nearest(q, _vectors(b["embedding"]), k + 1):
                     best[i] = sorted([*best[i], *((d, ids[a][0], leaf[a]) for d, a in zip(dist.tolist(), at.tolist(), strict=True))])[: k + 1]
         flat = [(i, *x) for i, row in enumerate(best) for x in row]
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in flat], t) for j, t in enumerate((pa.int32(), pa.float64(), pa.int64(), pa.int32()))], ["i", "d", "v", "leaf"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in flat], t) for j, t in enumerate((pa.int32(), pa.float64(), pa.int64(), pa.int64()))], ["i", "d", "v", "leaf"])
 
     w = Window.partitionBy("i").orderBy("d", "v")
-    near = points.select("leaf", "embedding", "ids").mapInArrow(truth, "i int, d double, v long, leaf int").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1).collect()  # at most PROBES * (k + 1) rows
-    rank = [{leaf: n for n, leaf in enumerate(tree.best_first(x, len(tree.leaf_of)))} for x in q]
-    needed = sorted(rank[r["i"]][r["leaf"]] + 1 for r in near if r["d"] > 0)
-    return needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)] if needed else 1
+    near = points.select("leaf", "embedding", "ids").mapInArrow(truth, "i int, d double, v long, leaf long").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1).collect()  # at most PROBES * (k + 1) rows
+    near = [(r["i"], r["leaf"]) for r in near if r["d"] > 0]
+    if not near:
+        return 1
+    top = lambda leaf: (leaf & (1 << 60) - 1) // SPLIT ** (leaf >> 60)
+    rank = [{leaf: n for n, (_, leaf) in enumerate(tree.best_first(x, len(tree.leaf_of)))} for x in q]
+    needed = sorted(rank[i][top(leaf)] + 1 for i, leaf in near)
+    visits = needed[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))) - 1)]
+    bins = len(tree.leaf_of) * SPLIT ** len(levels)
+    while levels and visits < bins:
+        seen = {(r["qkey"], r["leaf"]) for r in _frontier(asked, tree, levels, visits).select("qkey", "leaf").collect()}  # at most PROBES * visits rows
+        if sum((keys[i], leaf) in seen for i, leaf in near) >= TARGET * len(near):
+            break
+        visits *= 2
+    return visits

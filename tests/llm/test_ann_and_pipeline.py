@@ -48,11 +48,37 @@ def test_awkward_vectors(spark):
 def test_tree_visits_every_leaf_once():
     x = np.random.default_rng(1).normal(size=(3000, 8))
     tree = ann.Tree(x)
-    seen = tree.best_first(x[0], 10**9)
+    seen = [leaf for _, leaf in tree.best_first(x[0], 10**9)]
     assert sorted(seen) == sorted(tree.leaf_of.values())
     assert seen[0] == tree.leaves(x[:1])[0] or tree.leaves(x[:1])[0] in seen[:5]
 
 
+def test_no_row_to_ask_for(spark):
+    t = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (100, None)], "vec_id long, embedding array<double>")
+    assert ann.search(t).collect() == []
+
+
+def test_tree_grows_with_the_table(spark):
+    """Leaves of more than 60 vectors are split on their own members; neighbours are still found."""
+    x = np.random.default_rng(2).normal(size=(4000, 6))
+    x[:700] = x[0] + 1e-3 * x[:700]  # a crowded place
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    tree = ann.Tree(x[:200])
+    points = ann.cut(spark.createDataFrame([(int(n), v, [i]) for n, (i, v) in zip(tree.leaves(x), rows, strict=True)], "leaf long, embedding array<double>, ids array<bigint>"), "test")
+    finer, centres = ann._split(points, 1, 60)
+    assert centres.count() > 0 and sorted(r["ids"][0] for r in finer.collect()) == list(range(4000))
+    assert finer.groupBy("leaf").count().agg({"count": "max"}).first()[0] < points.groupBy("leaf").count().agg({"count": "max"}).first()[0]
+    got = ann.search(t, group=60).collect()
+    hits = 0
+    for q in range(0, 4000, 100):
+        mine = {r["vec_id"]: r["score"] for r in got if r["query_id"] == q}
+        want = exact(rows, q)
+        assert len(mine) == 10 and all(d == pytest.approx(math.dist(x[v], x[q]), rel=1e-12) for v, d in mine.items())
+        hits += len(set(mine) & {i for _, i in want})
+    assert hits >= 0.9 * 10 * 40
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = [docs.count()]
