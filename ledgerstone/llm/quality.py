@@ -1,21 +1,23 @@
 """Op 2: quality classifier by co-training.
 
 Two views of a document: its content (which words, beginnings of words and runs of symbols
-occur, and which do so often) and its page
-metadata (language, source, length and layout).  Each view has its own logistic model over hashed
-presence features.  In each round both models score a pool of unlabelled documents, and what one
-is sure of joins the training set of the other.  A held-out part of the labelled rows then
+occur, and which do so often) and its page metadata (language, source, length and layout).  Each
+view has its own logistic model over hashed presence features.  In each round both models score
+every unlabelled document, in a pass over all of them, and those of each class that one view is
+surest of, a `SHARE` of all but no more than `PICKS`, join the training set of the other.  A held-out part of the labelled rows then
 calibrates each view and the weights of their combination, which scores all documents.
 
-A document is good if its label says quality 1 and toxic 0.  Models are fitted on at most
-`LABELLED` labelled and `POOL` unlabelled documents, those with the smallest hashes of doc_id;
-scoring covers every document, with a model of fixed size.
+A document is good if its label says quality 1 and toxic 0.  Models are fitted on a bounded
+sample of labelled rows: at most `LABELLED` rows, those with the smallest hashes of doc_id, and of
+these as many as have `FIT_BYTES` of features together; a row of more than `ROW_FEATURES` content
+features is fitted by those with the smallest hashes.  Scores use all features of whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerstone.llm.blocks import U, Rolling, _lowered, _space, chunks
+from ledgerstone.llm.common import cut, drop
 
-LABELLED, POOL = 10_000, 4_000
-ROUNDS, SURE, SHARE = 3, 0.97, 0.1
+LABELLED, FIT_BYTES, ROW_FEATURES = 10_000, 48 << 20, 20_000
+ROUNDS, SURE, SHARE, PICKS = 3, 0.97, 0.1, 400
+FOLDS = 5  # one of so many labelled rows calibrates
 TEXT_BITS, META_BITS = 20, 12
 STEMS, MANY = (5, 7), 3  # bytes of a word's beginning; times from which a feature counts again
 APART = 4.5
@@ -87,12 +91,25 @@ def features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield a, b, (pair >> U(TEXT_BITS)).astype(np.int64), (pair & U((1 << TEXT_BITS) - 1)).astype(np.int64), meta
 
 
+def _probability(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Model:
     """Logistic regression over presence features, full-batch AdaGrad."""
 
     def __init__(self, bits: int) -> None:
         self.w, self.bias = np.zeros(1 << bits), 0.0
 
+    def __getstate__(self):  # most weights are 0
+        at = np.flatnonzero(self.w)
+        return len(self.w), at.astype(np.int32), self.w[at], self.bias
+
+    def __setstate__(self, state) -> None:
+        n, at, w, self.bias = state
+        self.w = np.zeros(n)
+        self.w[at] = w
+
     def logits(self, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
         used = (self.w != 0)[col]
         return np.bincount(row[used], self.w[col[used]], n) + self.bias
@@ -109,7 +126,7 @@ class Model:
         ids, at = np.unique(col, return_inverse=True)
         w, g2, b, b2 = np.zeros(len(ids)), np.full(len(ids), 1e-8), 0.0, 1e-8
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at], n) + b, -30, 30)))
+            p = _probability(np.bincount(row, w[at], n) + b)
             e = (p - y) * weight / n
             g = np.bincount(at, e[row], len(ids)) + l2 * w / n
             g2 += g * g
@@ -131,7 +148,7 @@ def _platt(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     x = np.column_stack([x, np.ones(len(y))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = _probability(x @ w)
         w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(len(w)), x.T @ (p - y) + 1e-2 * w)
     return w
 
@@ -144,86 +161,167 @@ def _pick(row, col, chosen: np.ndarray, n: int):
     return new[row[keep]], col[keep]
 
 
-def train(text: tuple, meta: np.ndarray, label: np.ndarray, fold: np.ndarray):
-    """(text model, metadata model, text calibration, metadata calibration, combination).
+def held_rows(label: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that calibrate, rows that train) of the labelled ones: crc32 of the id mod FOLDS is 0 or is not.
 
-    label: 1, 0 or -1 where unknown; fold: rows with fold 0 of 5 calibrate and train nothing.
+    Each class must be on both sides: a class with no row on a side sends its row of the smallest
+    (to calibrate) or largest crc32 there; a class of one row serves both.
     """
-    row, col = text
-    n = len(label)
-    mrow, mcol = np.repeat(np.arange(n), meta.shape[1]), meta.reshape(-1)
-    known, held = label >= 0, fold == 0
-    views = [(Model(TEXT_BITS), row, col, APART), (Model(META_BITS), mrow, mcol, 0.0)]
-    extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels each view was given
-    pool = np.flatnonzero(~known)
-    for round_ in range(ROUNDS + 1):
-        sure = []
-        for (model, r, c, apart), given in zip(views, extra, strict=True):
-            rows = np.append(np.flatnonzero(known & ~held), np.array(sorted(given), np.int64)).astype(np.int64)
-            y = np.append(label[known & ~held], [given[i] for i in sorted(given)]).astype(float)
-            model.fit(*_pick(r, c, rows, n), y, _balance(y), apart)
-            p = 1 / (1 + np.exp(-np.clip(model.logits(r, c, n), -30, 30)))
-            most = max(1, int(SHARE * len(pool)))
-            pick = {}
-            for value, strength in ((1, p[pool]), (0, 1 - p[pool])):
-                best = np.argsort(-strength, kind="stable")[:most]
-                pick |= {int(pool[i]): value for i in best if strength[i] >= SURE}
-            sure.append(pick)
-        if round_ < ROUNDS:
-            extra = [{**extra[0], **sure[1]}, {**extra[1], **sure[0]}]
-    test = np.flatnonzero(known & held)
-    if not len(test):
-        test = np.flatnonzero(known)
-    y = label[test].astype(float)
-    logits = np.column_stack([m.logits(r, c, n)[test] for m, r, c, _ in views])
-    each = [_platt(logits[:, [k]], y) for k in (0, 1)]
-    both = _platt(np.column_stack([logits[:, k] * each[k][0] + each[k][1] for k in (0, 1)]), y)
-    return views[0][0], views[1][0], each[0], each[1], both
+    crc = np.array([crc32(str(x).encode()) for x in ids], np.int64)
+    held = (label >= 0) & (crc % FOLDS == 0)
+    used = (label >= 0) & ~held
+    for value in (0, 1):
+        mine = np.flatnonzero(label == value)
+        for side, other, best in ((held, used, np.argmin), (used, held, np.argmax)):
+            if len(mine) and not side[mine].any():
+                row = mine[best(crc[mine])]
+                side[row] = True
+                other[row] = len(mine) == 1
+    return held, used
+
+
+class Views:
+    """What the driver fits on: some documents' features by view, labels, and pseudo-labels by view."""
+
+    def __init__(self, text: tuple, meta: np.ndarray, ids: list[int], good: dict[int, int]) -> None:
+        self.good, self.given = good, [{}, {}]
+        self.row, self.col, self.meta, self.ids = *text, meta, ids
+        self.models = [Model(TEXT_BITS), Model(META_BITS)]
+
+    def more(self, text: tuple, meta: np.ndarray, ids: list[int]) -> None:
+        self.row, self.col = np.append(self.row, text[0] + len(self.ids)), np.append(self.col, text[1])
+        self.meta, self.ids = np.concatenate([self.meta, meta]), [*self.ids, *ids]
+
+    def label(self) -> np.ndarray:
+        return np.array([self.good.get(x, -1) for x in self.ids], np.int64)
+
+    def features(self, view: int) -> tuple[np.ndarray, np.ndarray]:
+        if view == 0:
+            return self.row, self.col
+        return np.repeat(np.arange(len(self.ids)), self.meta.shape[1]), self.meta.reshape(-1)
+
+    def fit(self) -> None:
+        label = self.label()
+        _, used = held_rows(label, self.ids)
+        for view, (model, given, apart) in enumerate(zip(self.models, self.given, (APART, 0.0), strict=True)):
+            y = np.where(used, label, np.array([given.get(x, -1) for x in self.ids], np.int64))
+            rows = np.flatnonzero((y >= 0) & (used | (label < 0)))
+            y = y[rows].astype(float)
+            model.fit(*_pick(*self.features(view), rows, len(self.ids)), y, _balance(y), apart)
+
+    def exchange(self, sure: list[dict[int, int]]) -> bool:
+        """Give each view what the other is sure of; whether that is anything new."""
+        after = [{**self.given[0], **sure[1]}, {**self.given[1], **sure[0]}]
+        new, self.given = after != self.given, after
+        return new
+
+    def calibrated(self):
+        """(text model, metadata model, text calibration, metadata calibration, combination)."""
+        label = self.label()
+        test = np.flatnonzero(held_rows(label, self.ids)[0])
+        y = label[test].astype(float)
+        logits = np.column_stack([m.logits(*self.features(view), len(self.ids))[test] for view, m in enumerate(self.models)])
+        each = [_platt(logits[:, [k]], y) for k in (0, 1)]
+        both = _platt(np.column_stack([logits[:, k] * each[k][0] + each[k][1] for k in (0, 1)]), y)
+        return *self.models, *each, both
+
+
+def picks(unlabelled: int) -> int:
+    return max(1, min(PICKS, int(SHARE * unlabelled)))
+
+
+def surest(strength: list[tuple[float, int, int]], most: int) -> list[int]:
+    """Ids of the largest (strength, hash, id) of at least SURE; ties go to the smaller hash, then id."""
+    return [x[2] for x in sorted((x for x in strength if x[0] >= SURE), key=lambda x: (-x[0], x[1], x[2]))[:most]]
 
 
 def _gather(docs: DataFrame) -> tuple[tuple, np.ndarray, list[int]]:
-    """Features and ids of a bounded set of documents, on the driver."""
+    """Features and ids of a bounded set of documents, on the driver: those with the smallest hashes of doc_id, FIT_BYTES in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, row, col, meta in features(batch):
                 at = np.searchsorted(row, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array([col[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in range(b - a)], pa.binary()), pa.array([x.astype(np.int16).tobytes() for x in meta], pa.binary())], ["doc_id", "text", "meta"])
-
-    got = docs.mapInArrow(run, "doc_id long, text binary, meta binary").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+                text = [np.sort(col[at[i] : at[i + 1]]).astype(np.int32)[:ROW_FEATURES].tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), pa.array(text, pa.binary()), pa.array([x.astype(np.int16).tobytes() for x in meta], pa.binary())], ["doc_id", "text", "meta"])
+
+    table = cut(docs.mapInArrow(run, "doc_id long, text binary, meta binary").withColumn("h", F.xxhash64("doc_id")), "features")
+    sizes = table.groupBy("h", "doc_id").agg(F.sum(F.length("text")).alias("n")).orderBy("h", "doc_id").collect()  # a bounded set of ids
+    enough = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), FIT_BYTES, "right")) if sizes else 0
+    if enough < len(sizes):
+        last = sizes[max(0, enough - 1)]
+        table = table.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("doc_id") <= last["doc_id"])))
+    got = table.select("doc_id", "text", "meta").toArrow()
+    drop(table)
+    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("meta", "ascending")])
     parts = [np.frombuffer(x, np.int32) for x in got["text"].to_pylist()]
     row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
     col = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    meta = np.array([np.frombuffer(x, np.int16) for x in got["meta"].to_pylist()], np.int64).reshape(len(parts), -1)
+    meta = np.array([np.frombuffer(x, np.int16) for x in got["meta"].to_pylist()], np.int64).reshape(len(parts), -1) if parts else np.zeros((0, 8), np.int64)
     return (row, col), meta, got["doc_id"].to_pylist()
 
 
-def fit(docs: DataFrame, labels: DataFrame):
-    """The two models and their calibration; None if no row of both classes is labelled."""
-    from zlib import crc32
+def _both_views(docs: DataFrame, known: DataFrame, models: list[Model]) -> list[dict[int, int]]:
+    """What each view is sure of, of all documents without a label: {doc_id: class}, PICKS a class at most."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, row, col, meta in features(batch):
+                n = b - a
+                pt = _probability(models[0].logits(row, col, n))
+                pm = _probability(models[1].logits(np.repeat(np.arange(n), meta.shape[1]), meta.reshape(-1), n))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, n), pa.array(pt), pa.array(pm)], ["doc_id", "p0", "p1"])
+
+    p = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, p0 double, p1 double").join(known.select("doc_id"), "doc_id", "left_anti")
+    # rows of one doc_id are as sure as the least sure of them
+    p = cut(p.groupBy("doc_id").agg(*[f(f"p{k}").alias(f"{side}{k}") for k in (0, 1) for f, side in ((F.min, "lo"), (F.max, "hi"))]), "views")
+    sure: list[dict[int, int]] = [{}, {}]
+    most = picks(p.count())
+    for k, pick in enumerate(sure):
+        for value, strength in ((1, F.col(f"lo{k}")), (0, 1 - F.col(f"hi{k}"))):
+            best = p.select(strength.alias("s"), F.xxhash64("doc_id").alias("h"), "doc_id").where(F.col("s") >= SURE).orderBy(F.desc("s"), "h", "doc_id").limit(most)
+            pick |= {i: value for i in surest([tuple(r) for r in best.collect()], most)}
+    drop(p)
+    return sure
+
+
+def fit(docs: DataFrame, labels: DataFrame):
+    """The two models and their calibration; None if no documents of both classes are labelled."""
+    spark = docs.sparkSession
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect()
+    d = docs.select("doc_id", "text", "lang", "source")
+    ids = d.select("doc_id").distinct()
+    sample = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED).collect()
     good = {r["doc_id"]: r["good"] for r in sample}
     if len(set(good.values())) < 2:
         return None
-    d = docs.select("doc_id", "text", "lang", "source")
-    pool = d.select("doc_id").where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL)
-    ids = docs.sparkSession.createDataFrame([(x,) for x in [*good, *(r["doc_id"] for r in pool.collect())]], "doc_id long")
-    text, meta, order = _gather(d.join(F.broadcast(ids.distinct()), "doc_id", "left_semi"))  # LABELLED + POOL ids at most
-    label = np.array([good.get(x, -1) for x in order])
-    if len(set(label[label >= 0])) < 2:
+
+    def some(wanted) -> tuple:  # LABELLED, or 4 PICKS, ids at most
+        return _gather(d.join(F.broadcast(spark.createDataFrame([(x,) for x in wanted], "doc_id long")), "doc_id", "left_semi"))
+
+    views = Views(*some(good), good)
+    if len(set(views.label().tolist())) < 2:
         return None
-    return train(text, meta, label, np.array([crc32(str(x).encode()) % 5 for x in order]))
+    for _ in range(ROUNDS):
+        views.fit()
+        sure = _both_views(d, known, views.models)
+        if not views.exchange(sure):
+            break
+        new = sorted({*sure[0], *sure[1]} - set(views.ids))
+        if new:
+            views.more(*some(new))
+    views.fit()
+    return views.calibrated()
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_score, meta_score, score, kept; one row per input row; kept: score >= THRESHOLD.
 
     Scores are probabilities of a good document.  Null language or source is a value of its own,
-    a null text is empty.  Without labelled rows of both classes nothing is known: all scores are
-    0.5 and every document is kept.  Other columns are ignored.
+    a null text is empty; a null doc_id is scored and trains nothing; repeated rows of one doc_id
+    are scored each for itself.  Texts of any length are scored whole.  Without labelled documents
+    of both classes nothing is known: all scores are 0.5 and every document is kept.  An empty
+    table gives no rows.  Other columns are ignored.
     """
     return docs.select("doc_id", "text", "lang", "source").mapInArrow(_scorer(fit(docs, labels)), "doc_id long, text_score double, meta_score double, score double, kept boolean")
 
@@ -251,7 +349,7 @@ def _scorer(fitted):
                     text_model, meta_model, ct, cm, both = fitted
                     lt = text_model.logits(row, col, n) * ct[0] + ct[1]
                     lm = meta_model.logits(np.repeat(np.arange(n), meta.shape[1]), meta.reshape(-1), n) * cm[0] + cm[1]
-                    each = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (lt, lm, both[0] * lt + both[1] * lm + both[2])]
+                    each = [_probability(x) for x in (lt, lm, both[0] * lt + both[1] * lm + both[2])]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, n), *[pa.array(x) for x in each], pa.array(each[2] >= THRESHOLD)], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
     return run
