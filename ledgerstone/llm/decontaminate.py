@@ -3,8 +3,13 @@
 A text becomes a template: numbers, names and units turn into typed placeholders.  Templates are
 compared by hashed windows of `WINDOW` tokens in a hash join, and a window counts only if its
 slots are consistent: two slots hold one value in the document exactly if the same two do in the
-benchmark item.  So a question is found again with other numbers or names in it.  A capitalised
-word that opens a sentence may be a name or not, so a template has two forms, one for each.
+benchmark item.  So a question is found again with other numbers or names in it.  Every
+capitalised word is a name slot, for one that opens a sentence may be a name as well.
+A window with next to no plain words says nothing as a template: it is compared by its words.
+
+Slots are also checked along an item: the windows of one diagonal (place in the document minus
+place in the item) bind each value of the item to one value of the document and back, and a
+window that goes against the binding most of them have does not count.
 
 A document is contaminated by an item if at least `COVERAGE` of the item's windows are found in
 it.  Everything here is built-in DataFrame functions.
@@ -14,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerstone.llm.common import cut
@@ -28,6 +33,9 @@ BROADCAST_PLACES = 1_000_000
 # Units of measure, as lower-case words.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "a", "j", "kj", "n", "pa", "kpa", "k", "c", "f", "in", "ft", "yd", "mi", "oz", "lb", "gal", "mph", "inch", "inches", "feet", "foot", "yards", "miles", "mile", "meter", "meters", "metre", "metres", "kilometers", "kilometres", "gram", "grams", "kilogram", "kilograms", "liter", "liters", "litre", "litres", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "cent", "cents", "euro", "euros", "pound", "pounds", "percent", "degree", "degrees"]
 NUMBER, NAME, UNIT = "@d", "@n", "@u"
+SLOTS = (NUMBER, NAME, UNIT)
+TOKENS = r"\p{L}[\p{L}\p{N}]*|[0-9]+(?:[.,][0-9]+)*"
+PLAIN = 4  # a window of fewer than a quarter of plain words is compared by its words
 
 
 def _let(value: Column, body) -> Column:
@@ -35,45 +43,28 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def words_of(text: Column) -> Column:
-    """Tokens with a pilcrow in front where a sentence starts; separators inside numbers are gone."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\d)[.,](\d)", "$1$2")
-    t = F.regexp_replace(F.concat(F.lit(". "), t), r"[.!?]\s+", " ¶")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}¶\s]+", " ")
-    return F.filter(F.split(t, r"\s+"), lambda x: (x != "") & (x != "¶"))
-
-
-def template(tokens: Column) -> Column:
-    """Tokens in lower case, numbers, names and units as placeholders; a word that opens a sentence is no name."""
-    digit = lambda x: F.ltrim(x, F.lit("¶")).substr(1, 1).between("0", "9")
+def tokens_of(text: Column) -> Column:
+    """Words and numbers with their separators; a unit glued to a number is a word of its own."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0))
 
-    def typed(tokens: Column, x: Column, i: Column) -> Column:
-        plain = F.lower(F.ltrim(x, F.lit("¶")))
-        after_number = (i > 0) & digit(F.element_at(tokens, F.greatest(i, F.lit(1))))
-        return (
-            F.when(digit(x), NUMBER)
-            .when(plain.isin(UNITS) & after_number, UNIT)
-            .when(~x.startswith("¶") & (x.substr(1, 1) != F.lower(x.substr(1, 1))), NAME)
-            .otherwise(plain)
-        )
 
-    return _let(tokens, lambda tokens: F.transform(tokens, lambda x, i: typed(tokens, x, i)))
+def template(k: Column) -> Column:
+    """The tokens in lower case, with placeholders for numbers, units after numbers, and capitalised words.
 
+    Tokens are told by their first byte, as strings compare by bytes: most are done after one comparison.
+    """
+    number = lambda y: (y >= "0") & (y < ":")
 
-def _opened(tokens: Column, t: Column) -> Column:
-    """The second form of a template: a capitalised word that opens a sentence is a name too."""
-
-    def typed(x: Column, y: Column) -> Column:
-        first = F.ltrim(x, F.lit("¶")).substr(1, 1)
-        return F.when(x.startswith("¶") & (first != F.lower(first)) & (y != UNIT), NAME).otherwise(y)
+    def one(k: Column, x: Column, i: Column) -> Column:
+        unit = (i > 0) & number(F.element_at(k, F.greatest(i, F.lit(1)))) & F.lower(x).isin(UNITS)
+        first = x.substr(1, 1)
+        return F.when((x >= "a") & (x < "{") & ~unit, F.lower(x)).when(number(x), NUMBER).when(unit, UNIT).when(first != F.lower(first), NAME).otherwise(F.lower(x))
 
-    return F.zip_with(tokens, t, typed)
+    return _let(k, lambda k: F.transform(k, lambda x, i: one(k, x, i)))
 
 
-def _forms(tokens: Column, words: bool = True) -> Column:
-    """w, t, o: the words in lower case (if asked for), their template and its second form."""
-    both = lambda x: F.struct(*([_lowered(x["w"]).alias("w")] if words else []), x["t"].alias("t"), _opened(x["w"], x["t"]).alias("o"))
-    return _let(tokens, lambda w: _let(F.struct(w.alias("w"), template(w).alias("t")), both))
+def lowered(k: Column) -> Column:
+    return F.transform(k, lambda x: F.lower(x))
 
 
 def _windows(t: Column, window: int) -> Column:
@@ -94,73 +85,100 @@ def _windows(t: Column, window: int) -> Column:
 
 def _pattern(template_window: Column, words: Column) -> Column:
     """For each slot of a window the place at which its value comes first; 0 for plain tokens."""
-    return F.transform(template_window, lambda t, i: F.when(t.isin(NUMBER, NAME, UNIT), F.array_position(words, F.element_at(words, i + 1))).otherwise(0))
+    return F.transform(template_window, lambda t, i: F.when(t.isin(*SLOTS), F.array_position(words, F.element_at(words, i + 1))).otherwise(0))
 
 
-def _lowered(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.lower(F.ltrim(x, F.lit("¶"))))
+def _marks(k: Column, span: int, words: bool) -> Column:
+    """span, n, hs: the hashes of a document's n windows, of templates and, if asked for, of words."""
 
+    def hashes(h: Column) -> Column:
+        return F.struct(F.lit(span).alias("span"), F.size(h["t"]).alias("n"), F.concat(h["t"], h["w"]).alias("hs") if words else h["t"].alias("hs"))
 
-def _marks(x: Column, span: int, window: int) -> Column:
-    """span, n, hs: the hashes of a document's n windows, form after form; null where the second form is the first."""
+    return _let(F.struct(_windows(template(k), span).alias("t"), *([_windows(lowered(k), span).alias("w")] if words else [])), hashes)
 
-    def hashes(h: Column) -> Column:
-        other = F.zip_with(h["t"], h["o"], lambda t, o: F.when(t != o, o))
-        return F.struct(F.lit(span).alias("span"), F.size(h["t"]).alias("n"), F.concat(h["t"], other, *([h["w"]] if span < window else [])).alias("hs"))
 
-    return _let(F.struct(*[_windows(x[c], span).alias(c) for c in ("t", "o", *(["w"] if span < window else []))]), hashes)
+def _part(c: Column, at: Column, span: Column) -> Column:
+    return F.slice(c, at + 1, span)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, short_items: bool = True) -> DataFrame:
-    """(doc_id, item_id, n_windows, item_windows, coverage): for each pair that shares a consistent window.
+def _items(benchmark: DataFrame, window: int, short_items: bool) -> tuple[DataFrame, list[int]]:
+    """(item_id, at, span, bare, probe, h, slots, w) of each item's windows, and the spans below `window`.
 
-    A window is found if document and item agree in one form.  n_windows counts those of the first
-    form if they reach `coverage`, else those of any form.  An item shorter than `window` tokens is
-    one window of its own length; if it is nothing but slots, its words themselves are compared.
-    Without `short_items` it is compared nowhere.
-    An item without tokens is compared nowhere; null texts are empty; null ids are ids of their own.
-    Repeated rows of one id count once.  Other columns are ignored.
+    A bare window is compared by its words, others by their template.
     """
-    b = benchmark.select("item_id", _forms(words_of(F.col("text"))).alias("x")).select("item_id", "x.*")
+    b = benchmark.select("item_id", _let(tokens_of(F.col("text")), lambda k: F.struct(lowered(k).alias("w"), template(k).alias("t"))).alias("x")).select("item_id", "x.*").distinct()
     n = F.size("w")
     short = sorted(r["n"] for r in b.where((n > 0) & (n < window)).select(n.alias("n")).distinct().collect()) if short_items else []  # fewer than `window` rows
-    part = lambda c, at, span: F.slice(c, at + 1, span)
 
-    def items_of(span: int, form: int, c: str) -> DataFrame:
-        bare = F.lit(span < window) & ~F.exists(F.col(c), lambda x: ~x.isin(NUMBER, NAME, UNIT))
-        own = b.where(n >= window if span == window else n == span).select("item_id", "w", F.when(bare, F.col("w")).otherwise(F.col(c)).alias("c"), F.when(bare, 0).otherwise(form).alias("form"))
-        own = own.select("*", F.posexplode(_windows(F.col("c"), span)).alias("at", "probe"))
-        c, w = (part(F.col(x), F.col("at"), F.lit(span)) for x in ("c", "w"))
-        return own.select("item_id", "at", "probe", "form", F.xxhash64(c).alias("h"), _pattern(c, w).alias("slots"))
+    def of(span: int) -> DataFrame:
+        own = b.where(n >= window if span == window else n == span).select("item_id", "w", "t", F.posexplode(F.arrays_zip(_windows(F.col("w"), span).alias("pw"), _windows(F.col("t"), span).alias("pt"))).alias("at", "p"))
+        own = own.select("item_id", "at", "p", *[_part(F.col(x), F.col("at"), F.lit(span)).alias(x) for x in ("w", "t")])
+        own = own.withColumn("bare", F.size(F.filter("t", lambda x: ~x.isin(*SLOTS))) * PLAIN < span)
+        pick = lambda yes, no: F.when(F.col("bare"), F.col(yes)).otherwise(F.col(no))
+        return own.select("item_id", "at", F.lit(span).alias("span"), "bare", pick("p.pw", "p.pt").alias("probe"), F.xxhash64(pick("w", "t")).alias("h"), _pattern(pick("w", "t"), F.col("w")).alias("slots"), "w")
+
+    return cut(reduce(DataFrame.unionByName, [of(span) for span in (window, *short)]).distinct(), "items"), short
 
-    items = [items_of(span, form, c) for span in (window, *short) for form, c in ((1, "t"), (2, "o"))]
-    items = cut(reduce(DataFrame.unionByName, items).distinct(), "items")
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, short_items: bool = True) -> DataFrame:
+    """(doc_id, item_id, n_windows, item_windows, coverage): for each pair that shares a consistent window.
+
+    An item shorter than `window` tokens is one window of its own length.  A window with fewer
+    than a quarter of plain words is compared by its words.  Without `short_items` shorter items
+    are compared nowhere.
+    An item without tokens is compared nowhere; null texts are empty; null ids are ids of their own;
+    empty tables give no rows; texts of any length are read whole.  Repeated rows of one id count
+    once, and rows of one id with different texts are one document.  Other columns are ignored.
+    """
+    items, short = _items(benchmark, window, short_items)
     probes = items.select("probe").distinct()
     if probes.count() <= BROADCAST_WINDOWS:
         probes = F.broadcast(probes)
-    d = docs.select("doc_id", _let(_forms(words_of(F.col("text")), bool(short)), lambda x: F.array(*[_marks(x, span, window) for span in (window, *short)])).alias("m"))
+    bare = {r["span"] for r in items.where("bare").select("span").distinct().collect()}  # at most `window` rows
+    d = docs.select("doc_id", _let(tokens_of(F.col("text")), lambda k: F.array(*[_marks(k, span, span in bare) for span in (window, *short)])).alias("m"))
     # Outer, for the optimizer would evaluate what a plain generator takes a second time, as a filter; null probes join nothing.
     d = d.select("doc_id", F.inline_outer("m")).select("doc_id", "span", "n", F.posexplode_outer("hs").alias("at", "probe"))
     hits = d.join(probes, "probe").groupBy("doc_id").agg(F.collect_set(F.col("at") % F.col("n") * F.lit(window + 1).cast("long") + F.col("span")).alias("places"))
     hits = cut(hits, "hits")
     if (hits.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES:
         hits = F.broadcast(hits)
-    found = docs.select("doc_id", "text").join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "inner").select(docs["doc_id"].alias("doc_id"), _forms(words_of(F.col("text"))).alias("x"), "places")
-
-    def cell(x: Column, place: Column, form: int, c: str) -> Column:
-        c, w = (part(x[k], F.call_function("div", place, F.lit(window + 1)).cast("int"), (place % (window + 1)).cast("int")) for k in (c, "w"))
-        return F.struct(F.lit(form).alias("form"), F.xxhash64(c).alias("h"), _pattern(c, w).alias("slots"))
-
-    forms = [(1, "t"), (2, "o"), *([(0, "w")] if short else [])]
-    found = found.select("doc_id", F.explode_outer(_let(F.struct("x", "places"), lambda y: F.flatten(F.transform(y["places"], lambda p: F.array(*[cell(y["x"], p, form, c) for form, c in forms]))))).alias("y")).select("doc_id", "y.*").distinct()
-    count = lambda c: F.countDistinct(c).cast("long")
-    pairs = found.join(items, ["form", "h", "slots"]).groupBy("doc_id", "item_id").agg(count(F.when(F.col("form") == 1, F.col("at"))).alias("first"), count("at").alias("any"))
-    total = items.groupBy("item_id").agg(count("at").alias("item_windows"))
-    of = F.when(F.col("first") / F.col("item_windows") >= coverage, F.col("first")).otherwise(F.col("any"))
-    pairs = pairs.join(total, pairs["item_id"].eqNullSafe(total["item_id"])).select("doc_id", pairs["item_id"].alias("item_id"), of.alias("n_windows"), "item_windows")
+    both = _let(tokens_of(F.col("text")), lambda k: F.struct(lowered(k).alias("w"), template(k).alias("t")))
+    found = docs.select("doc_id", "text").join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "inner").select(docs["doc_id"].alias("doc_id"), both.alias("x"), "places")
+
+    def cell(x: Column, place: Column, name: str) -> Column:
+        at = F.call_function("div", place, F.lit(window + 1)).cast("int")
+        c, w = (_part(x[k], at, (place % (window + 1)).cast("int")) for k in (name, "w"))
+        return F.struct(F.lit(name == "w").alias("bare"), F.xxhash64(c).alias("h"), _pattern(c, w).alias("slots"), at.alias("place"), w.alias("dw"))
+
+    forms = ["t", *(["w"] if bare else [])]
+    found = found.select("doc_id", F.explode_outer(_let(F.struct("x", "places"), lambda y: F.flatten(F.transform(y["places"], lambda p: F.array(*[cell(y["x"], p, name) for name in forms]))))).alias("y")).select("doc_id", "y.*").distinct()
+    pairs = _bound(found.join(items.select("item_id", "at", "bare", "h", "slots", "w"), ["bare", "h", "slots"]))
+    count = F.countDistinct("at").cast("long")
+    pairs = pairs.groupBy("doc_id", "item_id").agg(count.alias("n_windows"))
+    total = items.groupBy("item_id").agg(count.alias("item_windows"))
+    pairs = pairs.join(total, pairs["item_id"].eqNullSafe(total["item_id"])).select("doc_id", pairs["item_id"].alias("item_id"), "n_windows", "item_windows")
     return pairs.select("*", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
 
 
+def _bound(pairs: DataFrame) -> DataFrame:
+    """The pairs of windows that agree with the binding of their diagonal.
+
+    On a diagonal each value of the item goes with the document's value that most places of the
+    item have (on a tie the smallest), and the other way round; a window agrees if all its slots do.
+    """
+    line = ["doc_id", "item_id", "diagonal"]
+    pairs = pairs.withColumn("diagonal", F.col("place") - F.col("at"))
+    slot = F.filter(F.transform(F.col("slots"), lambda s, j: F.struct(s.alias("s"), (F.col("at") + j).alias("spot"), F.element_at("w", j + 1).alias("iv"), F.element_at("dw", j + 1).alias("dv"))), lambda x: x["s"] > 0)
+    each = pairs.select(*line, "at", F.explode(slot).alias("x")).select(*line, "at", "x.spot", "x.iv", "x.dv")
+    votes = each.groupBy(*line, "iv", "dv").agg(F.countDistinct("spot").alias("votes"))
+    first = lambda a, b: F.row_number().over(Window.partitionBy(*line, a).orderBy(F.desc("votes"), b)) == 1
+    votes = votes.withColumn("there", first("iv", "dv")).withColumn("back", first("dv", "iv"))
+    same = lambda a, b, more: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in (*line, *more)])
+    no = votes.where(~(F.col("there") & F.col("back")))
+    off = each.join(no, same(each, no, ("iv", "dv")), "left_semi").select(*line, "at").distinct()
+    return pairs.join(off, same(pairs, off, ("at",)), "left_anti")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, short_items: bool = True) -> DataFrame:
     """The pairs of contamination() that reach `coverage`."""
-    return contamination(docs, benchmark, coverage=coverage, short_items=short_items).where(F.col("coverage") >= coverage)
+    return contamination(docs, benchmark, short_items=short_items).where(F.col("coverage") >= coverage)

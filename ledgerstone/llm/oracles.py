@@ -24,23 +24,30 @@ k AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN k ON a = doc_id
 """
 
-_TOKENS = r"""list_filter(string_split_regex(regexp_replace(regexp_replace('. ' || regexp_replace(coalesce(text, ''), '(\d)[.,](\d)', '\1\2', 'g'), '[.!?]\s+', ' ¶', 'g'), '[^\p{L}\p{N}¶\s]+', ' ', 'g'), '\s+'), lambda x: x <> '' AND x <> '¶')"""
+_TOKENS = r"""regexp_extract_all(coalesce(text, ''), '\p{L}[\p{L}\p{N}]*|[0-9]+(?:[.,][0-9]+)*')"""
 
 
-def op3(window: int, coverage: float, units: list[str]) -> str:
-    """Template windows of documents and items, equal in template and in slot pattern."""
+def op3(window: int, coverage: float, units: list[str], plain: int) -> str:
+    """Template windows of documents and items, equal in template and in slot pattern, that agree with their diagonal's binding; items of at least a window."""
     known = ", ".join(f"'{u}'" for u in units)
 
     def windows(table: str, key: str) -> str:
         return f"""
-{table}_w AS (SELECT {key}, {_TOKENS} AS w FROM {table}),
-{table}_t AS (SELECT {key}, list_transform(w, lambda x: lower(ltrim(x, '¶'))) AS v, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i][1] BETWEEN '0' AND '9' THEN '@d' WHEN i > 1 AND ltrim(w[greatest(i - 1, 1)], '¶')[1] BETWEEN '0' AND '9' AND lower(ltrim(w[i], '¶')) IN ({known}) THEN '@u' WHEN w[i][1] <> '¶' AND w[i][1] <> lower(w[i][1]) THEN '@n' ELSE lower(ltrim(w[i], '¶')) END) AS t FROM {table}_w),
+{table}_k AS (SELECT DISTINCT {key}, {_TOKENS} AS k FROM {table}),
+{table}_t AS (SELECT {key}, list_transform(k, lambda x: lower(x)) AS v, list_transform(range(1, len(k) + 1), lambda i: CASE WHEN k[i][1] BETWEEN '0' AND '9' THEN '@d' WHEN i > 1 AND k[greatest(i - 1, 1)][1] BETWEEN '0' AND '9' AND lower(k[i]) IN ({known}) THEN '@u' WHEN k[i][1] <> lower(k[i][1]) THEN '@n' ELSE lower(k[i]) END) AS t FROM {table}_k),
 {table}_x AS (SELECT {key}, v, t, unnest(range(1, len(t) - {window} + 2)) AS pos FROM {table}_t WHERE len(t) >= {window}),
-{table}_y AS (SELECT {key}, pos, array_to_string(t[pos:pos + {window - 1}], ' ') AS h, array_to_string(list_transform(range(0, {window}), lambda j: CASE WHEN t[pos + j] IN ('@d', '@n', '@u') THEN list_position(v[pos:pos + {window - 1}], v[pos + j]) ELSE 0 END), ',') AS slots FROM {table}_x)"""
+{table}_z AS (SELECT {key}, pos, v[pos:pos + {window - 1}] AS v, t[pos:pos + {window - 1}] AS t FROM {table}_x),
+{table}_y AS (SELECT {key}, pos, v, array_to_string(t, ' ') AS h, array_to_string(v, ' ') AS words, list_transform(range(1, {window + 1}), lambda j: CASE WHEN t[j] IN ('@d', '@n', '@u') THEN list_position(v, v[j]) ELSE 0 END) AS slots, len(list_filter(t, lambda x: x NOT IN ('@d', '@n', '@u'))) * {plain} < {window} AS bare FROM {table}_z)"""
 
     return f"""WITH {windows('documents', 'doc_id')},{windows('benchmark', 'item_id')},
-hit AS (SELECT d.doc_id, b.item_id, count(DISTINCT b.pos) AS n_windows FROM documents_y d JOIN benchmark_y b ON d.h = b.h AND d.slots = b.slots GROUP BY d.doc_id, b.item_id),
-total AS (SELECT item_id, count(*) AS item_windows FROM benchmark_y GROUP BY item_id)
+pair AS (SELECT d.doc_id, b.item_id, b.pos, d.pos - b.pos AS diagonal, b.v AS iv, d.v AS dv, b.slots FROM documents_y d JOIN benchmark_y b ON d.h = b.h AND d.slots = b.slots WHERE NOT b.bare
+UNION ALL SELECT d.doc_id, b.item_id, b.pos, d.pos - b.pos, b.v, d.v, []::BIGINT[] FROM documents_y d JOIN benchmark_y b ON d.words = b.words WHERE b.bare),
+slot AS (SELECT * FROM (SELECT doc_id, item_id, diagonal, pos, unnest(range(1, len(slots) + 1)) AS j, iv, dv, slots FROM pair) s WHERE slots[j] > 0),
+vote AS (SELECT doc_id, item_id, diagonal, iv[j] AS a, dv[j] AS b, count(DISTINCT pos + j) AS n FROM slot GROUP BY ALL),
+bound AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, diagonal, a ORDER BY n DESC, b) = 1 AND row_number() OVER (PARTITION BY doc_id, item_id, diagonal, b ORDER BY n DESC, a) = 1 AS ok FROM vote),
+off AS (SELECT DISTINCT slot.doc_id, slot.item_id, slot.diagonal, slot.pos FROM slot JOIN bound ON slot.doc_id = bound.doc_id AND slot.item_id = bound.item_id AND slot.diagonal = bound.diagonal AND iv[j] = a AND dv[j] = b WHERE NOT ok),
+hit AS (SELECT doc_id, item_id, count(DISTINCT pos) AS n_windows FROM pair WHERE (doc_id, item_id, diagonal, pos) NOT IN (SELECT (doc_id, item_id, diagonal, pos) FROM off) GROUP BY doc_id, item_id),
+total AS (SELECT item_id, count(DISTINCT pos) AS item_windows FROM benchmark_y GROUP BY item_id)
 SELECT doc_id, hit.item_id, n_windows, item_windows, n_windows / item_windows AS coverage FROM hit JOIN total ON hit.item_id = total.item_id WHERE n_windows / item_windows >= {coverage}"""
 
 
