@@ -17,28 +17,56 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerstone.llm.blocks import U, chunks, dump, load, segments
 from ledgerstone.llm.common import width
 
-BUCKET_BYTES, MOST_BYTES, PAYLOAD_BYTES = 4 << 20, 64 << 20, 2 << 10
+BUCKET_BYTES, MOST_BYTES, PART_BYTES, PAYLOAD_BYTES = 4 << 20, 64 << 20, 32 << 20, 512
+PLACED = 1 << 14  # numbers up to which each is placed by name
 KEEP, LATER, ASK = 0, 1, 2
 LOW40 = U((1 << 40) - 1)
 NO_ID = -(1 << 63)
 
 
-def bucketed(docs: DataFrame) -> DataFrame:
-    """(bucket, doc_id, text): buckets of some megabytes, by a hash of doc_id.  A null doc_id counts as the smallest.
+def placed(spark: SparkSession, n: int) -> list[int]:
+    """n distinct numbers, a multiple of the shuffle partitions, of which each partition gets as many.
 
-    A bucket sends one payload to each partition, so it grows with the partitions, to MOST_BYTES
-    at most: payloads stay in the kilobytes and their number does not outgrow the data.
+    Grouping by 0..n-1 would send several to one task and none to another.
     """
+    parts = width(spark)
+    if n > PLACED:  # many a partition: chance deals them well
+        return list(range(n))
+    more = 4 * n + 64
+    while True:
+        at = spark.range(more).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("at")).toArrow()["at"].to_numpy()
+        o = np.argsort(at, kind="stable")
+        first = np.searchsorted(at[o], np.arange(parts))
+        if np.bincount(at, minlength=parts).min() >= n // parts:
+            return [int(o[first[i % parts] + i // parts]) for i in range(n)]
+        more *= 2
+
+
+def exchange(docs: DataFrame) -> tuple[DataFrame, list[int]]:
+    """((bucket, doc_id, text), names of the hash partitions): buckets of some megabytes, by a hash of doc_id.
+
+    A null doc_id counts as the smallest.  Hash partitions are as many as keep PART_BYTES of text
+    each, whatever the shuffle partitions.  A bucket sends one payload to each, so it grows with
+    them, to MOST_BYTES at most: payloads stay above half a kilobyte and their number does not
+    outgrow the data.
+    """
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = width(docs.sparkSession)
-    n = max(parts, size // min(MOST_BYTES, max(BUCKET_BYTES, PAYLOAD_BYTES * parts)))
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bucket"), "doc_id", "text")
+    base = width(spark)
+    whole = lambda n: base * max(1, -(-n // base))
+    parts = whole(-(-size // PART_BYTES))
+    n = whole(size // min(MOST_BYTES, max(BUCKET_BYTES, PAYLOAD_BYTES * parts)))
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    names = placed(spark, n)
+    if n <= PLACED:
+        number = F.element_at(F.lit(names), number + 1)
+    return docs.select(number.cast("int").alias("bucket"), "doc_id", "text"), placed(spark, parts)
 
 
 def ids_of(table: pa.Table) -> np.ndarray:
@@ -68,11 +96,12 @@ class Bucket:
         self.again = again[o][self.first]
         self.edges = np.searchsorted(self.part[self.first], np.arange(parts + 1))
 
-    def flags(self, table: pa.Table) -> np.ndarray:
-        """Flag of each entry, from the replies' rows of kind 0."""
+    def flags(self, table: pa.Table, number: dict[int, int]) -> np.ndarray:
+        """Flag of each entry, from the replies' rows of kind 0; number: partition of each name."""
         out = np.zeros(len(self.first), np.int64)
         for kind, p, blob in zip(table["kind"].to_pylist(), table["p"].to_pylist(), table["payload"].to_pylist(), strict=True):
             if kind == 0:
+                p = number[p]
                 out[self.edges[p] : self.edges[p + 1]] = load(blob)[0]
         out[(out == KEEP) & self.again] = ASK
         return out
@@ -104,8 +133,8 @@ def mark(docs: DataFrame, symbols: Callable, window: int, k: int, same_doc: bool
     by (doc_id, start) if same_doc, else by doc_id.  material(table, rows, starts, sizes) gives the
     resolver each segment's own data, as bytes and their numbers, and resolve(entries) a mask of the windows that come later.
     """
-    parts = width(docs.sparkSession)
-    base = bucketed(docs)
+    base, names = exchange(docs)
+    parts, number = len(names), {name: i for i, name in enumerate(names)}
 
     def ask(table: pa.Table) -> pa.Table:
         b = Bucket(table, symbols, window, k, parts, same_doc)
@@ -117,7 +146,7 @@ def mark(docs: DataFrame, symbols: Callable, window: int, k: int, same_doc: bool
             s = slice(b.edges[p], b.edges[p + 1])
             local, nth = np.unique(which[s], return_inverse=True)
             out.append(dump(known[local], nth, b.m[f[s]], b.content[f[s]]))
-        return rows(used, [bucket] * len(used), 0, out)
+        return rows([names[p] for p in used], [bucket] * len(used), 0, out)
 
     def answer(table: pa.Table) -> pa.Table:
         p, buckets = table["p"][0].as_py(), table["bucket"].to_pylist()
@@ -148,7 +177,7 @@ def mark(docs: DataFrame, symbols: Callable, window: int, k: int, same_doc: bool
             return rows([], [], 1, [])
         b = Bucket(table, symbols, window, k, parts, same_doc)
         bucket, out, used = table["bucket"][0].as_py(), [], []
-        e = np.flatnonzero(b.flags(replies) == ASK)  # in order of p
+        e = np.flatnonzero(b.flags(replies, number) == ASK)  # in order of p
         f = b.first[e]
         data, lengths = material(table, b.row[f], b.start[f], b.size[f])
         cuts, upto = np.searchsorted(e, b.edges), np.append(0, np.cumsum(lengths))
@@ -156,7 +185,7 @@ def mark(docs: DataFrame, symbols: Callable, window: int, k: int, same_doc: bool
             g = f[cuts[p] : cuts[p + 1]]
             used.append(p)
             out.append(dump(b.m[g], b.content[g], b.doc[g], b.start[g], b.size[g]) + data[upto[cuts[p]] : upto[cuts[p + 1]]])
-        return rows(used, [bucket] * len(used), 1, out)
+        return rows([names[p] for p in used], [bucket] * len(used), 1, out)
 
     def settle(table: pa.Table) -> pa.Table:
         p, buckets = table["p"][0].as_py(), table["bucket"].to_pylist()
@@ -167,12 +196,13 @@ def mark(docs: DataFrame, symbols: Callable, window: int, k: int, same_doc: bool
         if not len(table):
             return finish(table, *(np.zeros(0, np.int64),) * 3)
         b = Bucket(table, symbols, window, k, parts, same_doc)
-        flags = b.flags(replies)
+        flags = b.flags(replies, number)
         mine = b.start[b.first[b.entry]] < b.start if same_doc else np.zeros(len(b.row), bool)
         later = (flags[b.entry] == LATER) | (b.doc > b.doc[b.first[b.entry]]) | mine
         span = [(b.row[later], b.start[later], b.size[later])]
         for kind, p, blob in zip(replies["kind"].to_pylist(), replies["p"].to_pylist(), replies["payload"].to_pylist(), strict=True):
             if kind == 1:
+                p = number[p]
                 e = b.edges[p] + np.flatnonzero(flags[b.edges[p] : b.edges[p + 1]] == ASK)
                 mask = load(blob)[0]
                 hit = mask != 0

@@ -78,30 +78,51 @@ def byte_dedup(docs):
     return out
 
 
-def lm(docs, alpha):
-    """(doc_id, held out, tokens, known, N, base, score), the automaton walked token by token."""
-    start, end = object(), object()
-    one, two = Counter(), Counter()
-    toks = [(d, [*words(t, True), end]) for d, t in docs]
+def strength(contexts, kinds):
+    """a with sum over contexts of sum of a / (i + a), i below its count, equal to `kinds`; by bisection."""
+    lo, hi = 1e-3, 1e7
+    many = Counter(contexts)
+    for _ in range(200):
+        a = math.sqrt(lo * hi)
+        if sum(n * sum(a / (i + a) for i in range(c)) for c, n in many.items()) < kinds:
+            lo = a
+        else:
+            hi = a
+    return lo
+
+
+def lm(docs, a2=None, a3=None, fit=strength):
+    """({doc_id: (held out, tokens, known, N, base, score)}, a2, a3), the automaton walked token by token."""
+    start, end = "<s>", "</s>"
+    one, two, three = Counter(), Counter(), Counter()
+    toks = [(d, [start, *words(t, True), end]) for d, t in docs]
     for d, w in toks:
         if zlib.crc32(str(d).encode()) % 7 != 2:
-            one.update(w)
-            two.update(zip([start, *w[:-1]], w, strict=True))
+            one.update(w[1:])
+            two.update(zip(w, w[1:], strict=False))
+            three.update(zip(w, w[1:], w[2:], strict=False))
+    three = Counter({k: c for k, c in three.items() if two[k[:2]] >= 2})
     n, v = sum(one.values()), len(one)
-    state_count = defaultdict(int, {**one, start: one[end]})
-    arcs = {h: {} for h, _ in two}
+    a2 = a2 or fit(list(one.values()), len(two))
+    a3 = a3 or fit([c for c in two.values() if c >= 2], len(three))
+    count = {(): None, (start,): one[end], **{(w,): c for w, c in one.items()}, **{k: c for k, c in two.items() if c >= 2}}
     p1 = lambda w: (one[w] + 1) / (n + v + 1)
+    arcs = {h: {} for h in count}
     for (h, w), c in two.items():
-        arcs[h][w] = (c + alpha * p1(w)) / (state_count[h] + alpha)
-    fail = {h: alpha / (state_count[h] + alpha) for h in arcs}
-    out = []
+        arcs[h,][w] = (c + a2 * p1(w)) / (count[h,] + a2)
+    for (g, h, w), c in three.items():
+        arcs[g, h][w] = (c + a3 * arcs[h,][w]) / (count[g, h] + a3)
+    fail = {h: (a2 if len(h) == 1 else a3) / (count[h] + (a2 if len(h) == 1 else a3)) for h in count if h}
+    out = {}
     for d, w in toks:
-        state, score = start, 0.0
-        for x in w:
-            if state in arcs and x in arcs[state]:
-                score += math.log10(arcs[state][x])
-            else:
-                score += math.log10(fail.get(state, 1.0) * p1(x))
-            state = x
-        out.append((d, zlib.crc32(str(d).encode()) % 7 == 2, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), score))
-    return out
+        state, score = (start,) if one[end] else (), 0.0
+        for x in w[1:]:
+            while state and x not in arcs[state]:
+                score += math.log10(fail[state])
+                state = state[1:]
+            score += math.log10(arcs[state][x] if state else p1(x))
+            state = (*state, x)[-2:]
+            while state not in count or (state and not count[state]):
+                state = state[1:]
+        out[d] = (zlib.crc32(str(d).encode()) % 7 == 2, len(w) - 1, sum(one[x] > 0 for x in w[1:]), n, sum(math.log10(p1(x)) for x in w[1:]), score)
+    return out, a2, a3, arcs, fail, p1, one

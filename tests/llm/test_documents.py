@@ -66,40 +66,39 @@ def test_suffix_dedup(spark, docs):
 
 
 def test_lm(spark, docs):
-    got = {r["doc_id"]: tuple(r) for r in lm.score(frame(spark, docs)).collect()}
-    for want in brute.lm(docs, 100.0):
-        assert got[want[0]][:5] == want[:5]
-        assert got[want[0]][5:] == pytest.approx(want[5:], abs=1e-9 * want[2] + 1e-9)
+    got = {r["doc_id"]: tuple(r)[1:] for r in lm.score(frame(spark, docs)).collect()}
+    fit = lambda contexts, kinds: lm.strength(lm.kinds(np.array(contexts)), kinds)
+    want, *_ = brute.lm(docs, fit=fit)
+    assert set(got) == set(want)
+    for d, row in want.items():
+        assert got[d][:4] == row[:4]
+        assert got[d][4:] == pytest.approx(row[4:], abs=1e-9 * row[1] + 1e-8)
+    rng = random.Random(4)
+    for a in (0.3, 4.0, 60.0, 900.0):  # against the exact solution
+        counts = [min(10_000, int(rng.paretovariate(0.8))) for _ in range(500)]
+        kinds = round(sum(sum(a / (i + a) for i in range(c)) for c in counts))
+        assert fit(counts, kinds) == pytest.approx(brute.strength(counts, kinds), rel=0.12)
+
+
+def test_lm_automaton(spark, small, monkeypatch):
+    """Scores token by token, with given strengths, in short pieces; arcs and failure of a state share the mass 1."""
+    monkeypatch.setattr(lm, "strength", lambda expected, counted: 3.5)
+    monkeypatch.setattr(lm, "PIECE", 7)
+    docs = small[:80]
+    want, a2, a3, arcs, fail, p1, one = brute.lm(docs, 3.5, 3.5)
+    below = lambda h, w: p1(w) if not h else arcs[h][w] if w in arcs[h] else fail[h] * below(h[1:], w)
+    for h in [(), ("<s>",), *[k for k in arcs if len(k) == 2][:20]]:
+        assert sum(below(h, w) for w in one) + below(h, "unknown") == pytest.approx(1.0)
 
+    import pyarrow as pa
 
-def test_lm_third_order(spark, small):
-    """Against the recursion, written out; its probabilities after any context add up to 1."""
-    alpha, docs = 7.0, small[:60]
-    counts, toks, ends = {}, {}, 0
-    for d, t in docs:
-        toks[d] = ["<s>", *brute.words(t, True), "</s>"]
-        if zlib.crc32(str(d).encode()) % 7 != 2:
-            ends += 1
-            for i in range(1, len(toks[d])):
-                for n in (1, 2, 3):
-                    if i - n + 1 >= 0:
-                        g = tuple(toks[d][i - n + 1 : i + 1])
-                        counts[g] = counts.get(g, 0) + 1
-    one = [g for g in counts if len(g) == 1]
-    total = sum(counts[g] for g in one)
-
-    def p(w, h):
-        if not h:
-            return (counts.get((w,), 0) + 1) / (total + len(one) + 1)
-        seen = ends if h == ("<s>",) else counts.get(h, 0)
-        return (counts.get((*h, w), 0) + alpha * p(w, h[1:])) / (seen + alpha)
-
-    for h in ((), ("<s>",), ("the",), ("<s>", "the"), ("no such", "the")):
-        assert sum(p(g[0], h) for g in one) + p("unknown", h) == pytest.approx(1.0)
-    got = {r["doc_id"]: r["score"] for r in lm.score(table(spark, docs), order=3, alpha=alpha).collect()}
-    for d, w in toks.items():
-        want = sum(np.log10(p(w[i], tuple(w[max(0, i - 2) : i]))) for i in range(1, len(w)))
-        assert got[d] == pytest.approx(want, abs=1e-6)
+    table = pa.table([pa.array([0] * len(docs), pa.int32()), pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs])], ["bucket", "doc_id", "text"])
+    g = lm.Grams(table)
+    x1, x2 = g.two(3)
+    c1, c2 = (np.append(x.seen, 0) for x in (x1, x2))
+    x3 = g.three(3, x2, c2)
+    log = lm.traverse(g, x1, x2, x3, c1, c2, np.append(x3.seen, 0), int(c1.sum()), int((c1 > 0).sum()), 3.5, 3.5)
+    assert np.add.reduceat(log, g.first) == pytest.approx([want[d][5] for d, _ in docs], abs=1e-8)
 
 
 def test_sharding(spark, docs):
