@@ -39,6 +39,7 @@ END, START, STEP = U(0x51ED270B7F3A9C01), U(0x2545F4914F6CDD1D), U(0x9FB21C651E9
 LOW40 = U((1 << 40) - 1)
 SEEN = 2
 PIECE = 512
+BUCKET = 8 << 20  # bytes of texts in a bucket: the larger, the fewer n-grams are sent twice
 STRENGTHS = 2.0 ** np.arange(-4, 18, 1.5)  # between which that of an order is interpolated
 
 
@@ -190,7 +191,7 @@ def score(docs: DataFrame) -> DataFrame:
     repeated rows count as often as they come; texts of any length are read whole; other columns
     are ignored; an empty table gives no rows.
     """
-    base, names = exchange(docs)
+    base, names = exchange(docs, BUCKET)
     parts, number = len(names), {name: i for i, name in enumerate(names)}
 
     def sent(table: pa.Table, kind: int, orders: list[Order]) -> pa.Table:

@@ -48,7 +48,7 @@ def placed(spark: SparkSession, n: int) -> list[int]:
         more *= 2
 
 
-def exchange(docs: DataFrame) -> tuple[DataFrame, list[int]]:
+def exchange(docs: DataFrame, least: int = BUCKET_BYTES) -> tuple[DataFrame, list[int]]:
     """((bucket, doc_id, text), names of the hash partitions): buckets of some megabytes, by a hash of doc_id.
 
     A null doc_id counts as the smallest.  Hash partitions are as many as keep PART_BYTES of text
@@ -61,7 +61,7 @@ def exchange(docs: DataFrame) -> tuple[DataFrame, list[int]]:
     base = width(spark)
     whole = lambda n: base * max(1, -(-n // base))
     parts = whole(-(-size // PART_BYTES))
-    n = whole(size // min(MOST_BYTES, max(BUCKET_BYTES, PAYLOAD_BYTES * parts)))
+    n = base * max(1, round(size / min(MOST_BYTES, max(least, PAYLOAD_BYTES * parts)) / base))
     number = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
     names = placed(spark, n)
     if n <= PLACED:
