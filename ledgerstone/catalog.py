@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ledgerstone.plans import formats, maps  # noqa: F401  they register
+from ledgerstone.plans import formats, maps, rules  # noqa: F401  they register
 from ledgerstone.plans.registry import QUERIES, SQL
 
 

@@ -41,5 +41,5 @@ def mac(document: Column, key: Column, iv: Column, aad: Column) -> Column:
     return F.substring(F.aes_encrypt(F.lit(b"").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), iv, F.concat(aad, document.cast("binary"))), 13, 16)
 
 
-def volume_id(kind: str, name: Column) -> Column:
-    return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat(F.lit(f"{kind}-"), name), 256), 1, 17))
+def volume_id(kind: str, name: Column, bucket: Column, seconds: Column) -> Column:
+    return F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("-", F.lit(kind), name, bucket, seconds.cast("string")), 256), 1, 17))

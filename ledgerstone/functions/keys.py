@@ -10,6 +10,30 @@ def chunk_key(volume: Column, object_id: Column) -> Column:
     return F.format_string("%s/chunks/chunk.%08d.bin", volume, object_id)
 
 
+# The key of each kind of object below its volume.
+KINDS = {
+    "config": "config.json",
+    "chunk": "chunks/chunk.%08d.bin",
+    "checkpoint": "checkpoints/blocks.%08d.bin",
+    "wal_chunk": "wal/chunks/wal.%08d.bin",
+    "wal_block": "wal/blocks/blocks.%08d.bin",
+    "wal_shard": "wal/chunks/wal.%08d.shard_%02d.bin",
+    "checkpoint_live": "checkpoints/blocks.live.bin",
+    "snapshot_marker": "snapshots.marker",
+    "unknown": "unknown.%08d.bin",
+}
+
+
+def key(kind: Column, volume: Column, object_id: Column) -> Column:
+    """The key of an object; a sharded log carries its shard in the low byte of its number."""
+    wal, shard = unpack_shard(object_id)
+    out = F.format_string("%s/" + KINDS["unknown"], volume, object_id)
+    for name, form in KINDS.items():
+        args = (wal, shard) if name == "wal_shard" else (object_id,) if "%" in form else ()
+        out = F.when(kind == name, F.format_string("%s/" + form, volume, *args)).otherwise(out)
+    return out
+
+
 def chunk_number(key: Column) -> Column:
     """Null for keys of any other kind."""
     digits = F.regexp_extract(key, r"/chunks/chunk\.(\d+)\.bin$", 1)

@@ -30,6 +30,13 @@ def _bucketed(extents: DataFrame) -> DataFrame:
     return extents.withColumn("bucket_", F.explode(F.sequence(first, last)))
 
 
+def containing(probes: DataFrame, extents: DataFrame) -> DataFrame:
+    """Each probe's block with the extent that holds it."""
+    e = _bucketed(extents)
+    hit = (div(F.col("block"), BUCKET) == F.col("bucket_")) & (F.col("block") >= F.col("start_block")) & (F.col("block") < F.col("start_block") + F.col("num_blocks"))
+    return probes.join(e, hit).drop("bucket_")
+
+
 def lookup(probes: DataFrame, extents: DataFrame, block_size: int) -> DataFrame:
     """Each probe's block with its place: a range join as an equi-join on block buckets."""
     e = _bucketed(extents)
@@ -55,8 +62,32 @@ def fracture(extents: DataFrame, writes: DataFrame, block_size: int) -> DataFram
     e = extents.join(cut, ["start_block", "num_blocks", "object_id", "object_offset"], "left")
     end = F.col("start_block") + F.col("num_blocks")
     cuts = F.coalesce("cuts", F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
-    heads = F.concat(F.array(F.col("start_block")), F.transform(cuts, lambda c, i: F.array_max(F.transform(F.slice(cuts, F.lit(1), i + 1), lambda x: x["hi"]))))
-    tails = F.concat(F.transform(cuts, lambda c: c["lo"]), F.array(end))
-    gaps = F.filter(F.arrays_zip(heads.alias("a"), tails.alias("b")), lambda g: g["b"] > g["a"])
-    left = e.withColumn("g_", F.explode(gaps))
+    # one row a cut and one for the end: a gap goes from the furthest end of all cuts before to the start of this one
+    last = F.array(F.struct(end.alias("lo"), end.alias("hi")))
+    each = e.select("start_block", "num_blocks", "object_id", "object_offset", F.posexplode(F.concat(cuts, last)).alias("nth", "c"))
+    before = Window.partitionBy("start_block", "object_id", "object_offset").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    left = each.withColumn("g_", F.struct(F.greatest("start_block", F.coalesce(F.max("c.hi").over(before), F.col("start_block"))).alias("a"), F.col("c.lo").alias("b"))).where("g_.b > g_.a")
     return left.select(F.col("g_.a").alias("start_block"), (F.col("g_.b") - F.col("g_.a")).alias("num_blocks"), "object_id", (F.col("object_offset") + (F.col("g_.a") - F.col("start_block")) * block_size).alias("object_offset"))
+
+
+def with_versions(extents: DataFrame, blockmap: DataFrame) -> DataFrame:
+    """Extents with `seqs`, the version of each of their blocks in order."""
+    each = containing(blockmap.select("block", "seq"), extents)
+    seqs = F.transform(F.array_sort(F.collect_list(F.struct("block", "seq"))), lambda x: x["seq"])
+    return each.groupBy("start_block", "num_blocks", "object_id", "object_offset").agg(seqs.alias("seqs"))
+
+
+def expand_versions(extents: DataFrame, block_size: int) -> DataFrame:
+    """One row per block of each extent, with its place and its own version."""
+    e = extents.select("start_block", "object_id", "object_offset", F.posexplode("seqs").alias("i", "seq"))
+    return e.select((F.col("start_block") + F.col("i")).alias("block"), "object_id", (F.col("object_offset") + F.col("i") * block_size).alias("object_offset"), "seq")
+
+
+def put(index: DataFrame, new: DataFrame) -> DataFrame:
+    """The index with entries set by their start; an entry of the same start goes."""
+    return index.join(new.select("start_block"), "start_block", "left_anti").select(index.columns).unionByName(new.select(index.columns))
+
+
+def remove(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """The index without the entries of these starts."""
+    return index.join(gone.select("start_block").distinct(), "start_block", "left_anti").select(index.columns)

@@ -11,6 +11,11 @@ def refcounts(extents: DataFrame) -> DataFrame:
     return extents.groupBy("object_id").agg(F.count(F.lit(1)).alias("refs"))
 
 
+def floor(stored: int | None) -> int:
+    """The least chunk number a sweep may touch, from the highest in the numbered checkpoint; without one nothing is eligible."""
+    return (1 << 63) - 1 if stored is None else stored + 1
+
+
 def candidates(chunks: DataFrame, refs: DataFrame, floor: int, watermark: int) -> DataFrame:
     """Chunks with no reference and floor <= id < watermark."""
     old = chunks.where((F.col("object_id") >= floor) & (F.col("object_id") < watermark)).select("object_id").distinct()

@@ -21,9 +21,10 @@ def slices(req: DataFrame, block_size: int) -> DataFrame:
     return to_blocks(req, block_size).select("req", "block", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), ((lo > 0) | (hi < block_size)).alias("partial"))
 
 
-def validate(req: DataFrame, size: int) -> DataFrame:
-    """Class of each request, in the order in which the checks apply."""
-    kind = F.when(F.col("off") > size, "too_large").when(F.col("off") + F.col("len") > size, "out_of_range").when(F.col("len") == 0, "empty").otherwise("ok")
+def validate(req: DataFrame, size: int, block_size: int) -> DataFrame:
+    """Class of each request, in the order in which the checks apply; a write must be of whole blocks."""
+    end, written = F.col("off") + F.col("len"), F.col("op") == "write"
+    kind = F.when(F.col("off") > size, "too_large").when(end > size, "out_of_range").when(F.col("len") == 0, "empty").when(written & (F.col("len") % block_size != 0), "misaligned").otherwise("ok")
     return req.withColumn("class", kind)
 
 
@@ -40,3 +41,18 @@ def sequential(req: DataFrame, part: list[str]) -> DataFrame:
     w = Window.partitionBy(*part).orderBy("req")
     before = F.lag(F.col("first_block") + F.col("num_blocks")).over(w)
     return req.withColumn("sequential", F.coalesce(F.col("first_block") == before, F.lit(False)))
+
+
+def readahead(req: DataFrame, extents: DataFrame, limit: int = 256) -> DataFrame:
+    """volume, req, sequential, extra: how many blocks a sequential request carries along.
+
+    req: volume, req, first_block, num_blocks.  A request that starts where the volume's last one
+    ended goes on through the extent that holds its last block: an extent is one chunk, without
+    gaps, and where it ends the next block is unmapped, in another chunk or elsewhere in this one.
+    """
+    from ledgerstone.operators.extents import containing
+
+    r = sequential(req, ["volume"]).withColumn("block", F.col("first_block") + F.col("num_blocks") - 1)
+    found = containing(r.where("sequential").select("volume", "req", "block"), extents)
+    extra = F.least(F.lit(limit).cast("long"), F.col("start_block") + F.col("num_blocks") - F.col("block") - 1)
+    return r.join(found.select("volume", "req", extra.alias("extra")), ["volume", "req"], "left").select("volume", "req", "sequential", F.coalesce("extra", F.lit(0).cast("long")).alias("extra"))

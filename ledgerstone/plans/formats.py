@@ -11,8 +11,6 @@ from ledgerstone.operators import chunks, extents, log
 from ledgerstone.plans import fixtures as fx
 from ledgerstone.plans.fixtures import BM, D, EXT, FILES, WAL
 from ledgerstone.plans.registry import both, query
-from ledgerstone.sources import blocklog
-from ledgerstone.streaming import drain as stream
 
 B = lambda x: f"CAST({x} AS BIGINT)"
 SMALL = 16  # bytes of a block in encoded fixtures
@@ -21,11 +19,6 @@ NOW = 1_700_000_000
 # ---- keys and listings ----------------------------------------------------------------------
 
 
-@query("key_format", "SELECT p_partkey AS id, concat('v/chunks/chunk.', lpad(CAST(p_partkey AS VARCHAR), 8, '0'), '.bin') AS key FROM part")
-def key_format(spark, d):
-    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), keys.chunk_key(F.lit("v"), F.col("p_partkey")).alias("key"))
-
-
 @query("key_parse", "SELECT concat('v/chunks/chunk.', lpad(CAST(p_partkey AS VARCHAR), 8, '0'), CASE WHEN p_partkey % 5 = 0 THEN '.tmp' ELSE '.bin' END) AS key, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey END AS object_id FROM part")
 def key_parse(spark, d):
     key = F.concat(F.regexp_replace(keys.chunk_key(F.lit("v"), F.col("p_partkey")), r"\.bin$", ""), F.when(F.col("p_partkey") % 5 == 0, ".tmp").otherwise(".bin"))
@@ -38,27 +31,6 @@ def key_shard_unpack(spark, d):
     return fx.table(spark, d, "events").select(F.col("event_id").alias("id"), wal.alias("wal"), shard.alias("shard"))
 
 
-both("list_objects", "SELECT concat('vol-', CAST(s_nationkey AS VARCHAR(9)), '/chunks/chunk.', lpad(CAST(s_suppkey AS VARCHAR(9)), 8, '0'), '.bin') AS key, CAST(length(s_name) AS BIGINT) AS length FROM supplier")
-both("list_prefixes", "SELECT DISTINCT regexp_extract(concat('vol-', CAST(s_nationkey AS VARCHAR(9)), '/chunks/chunk.bin'), '^([^/]+)/', 1) AS prefix FROM supplier")
-
-
-@query("src_ranged_read", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN sha256(text) ELSE sha256(substr(text, CAST(doc_id % 50 + 1 AS INT), 64)) END AS digest FROM documents WHERE length(text) = strlen(text)")
-def src_ranged_read(spark, d):
-    part = blocklog.ranged(F.col("text").cast("binary"), (F.col("doc_id") % 50).cast("int"), F.when(F.col("doc_id") % 4 == 0, 0).otherwise(64))
-    return fx.table(spark, d, "documents").where(F.length("text") == F.octet_length("text")).select("doc_id", F.sha2(part, 256).alias("digest"))
-
-
-@query("src_ranged_read_bytes", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN sha256(encode(text)) ELSE sha256(encode(text)[doc_id % 50 + 1 : doc_id % 50 + 64]) END AS digest FROM documents")
-def src_ranged_read_bytes(spark, d):
-    part = blocklog.ranged(F.col("text").cast("binary"), (F.col("doc_id") % 50).cast("int"), F.when(F.col("doc_id") % 4 == 0, 0).otherwise(64))
-    return fx.table(spark, d, "documents").select("doc_id", F.sha2(part, 256).alias("digest"))
-
-
-@query("src_short_read_check", "SELECT doc_id, greatest(0, strlen(text) - 100) < 200 AS short FROM documents")
-def src_short_read_check(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", blocklog.short_read(F.col("text").cast("binary"), F.lit(100), F.lit(200)).alias("short"))
-
-
 @query("human_bytes", "SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.1f GiB', n/1073741824.0::DOUBLE) WHEN n >= 1048576 THEN printf('%.1f MiB', n/1048576.0::DOUBLE) WHEN n >= 1024 THEN printf('%.1f KiB', n/1024.0::DOUBLE) ELSE printf('%d B', n) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 900 + 1) AS n FROM documents) x")
 def human_bytes(spark, d):
     n = F.col("n_chars") * (F.col("doc_id") % 900 + 1)
@@ -140,15 +112,6 @@ def chunk_assemble(spark, d):
     return hexed(chunks.assemble(slots, ["gen", "chunk"]), "body")
 
 
-@query("chunk_magic_check", "SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'sealed' ELSE 'unknown' END AS kind FROM nation")
-def chunk_magic_check(spark, d):
-    n = F.col("n_nationkey")
-    c = F.when(n % 3 == 0, codec.raw(codec.CHUNK_MAGIC)).when(n % 3 == 1, codec.raw(codec.CHUNK_SEALED_MAGIC)).otherwise(codec.raw(b"\0\0\0\0"))
-    head = F.substring("content", 1, 4)
-    kind = F.when(head == codec.raw(codec.CHUNK_MAGIC), "plain").when(head == codec.raw(codec.CHUNK_SEALED_MAGIC), "sealed").otherwise("unknown")
-    return fx.table(spark, d, "nation").select(n.alias("id"), c.alias("content")).select("id", kind.alias("kind"))
-
-
 def checkpoints(spark, d) -> DataFrame:
     """One encoded checkpoint per 64 chunks: part, content."""
     bm = fx.blockmap(spark, d)
@@ -164,59 +127,18 @@ def ckpt_encode(spark, d):
 
 @query("ckpt_decode", f"WITH {BM} SELECT block, object_id, object_offset, seq FROM bm")
 def ckpt_decode(spark, d):
-    return codec.decode_map(checkpoints(spark, d), [])
+    return codec.decode_map(checkpoints(spark, d), []).drop("num_blocks")
 
 
 @query("snap_load", f"WITH {EXT} SELECT start_block, num_blocks, object_id, object_offset FROM ext")
 def snap_load(spark, d):
-    return extents.coalesce(codec.decode_map(checkpoints(spark, d), []), fx.BLOCK, fx.HEADER)
-
-
-@query("ckpt_select", f"WITH {BM} SELECT block, object_id, CASE WHEN block % 3 = 0 THEN 'live' ELSE 'numbered' END AS source FROM bm")
-def ckpt_select(spark, d):
-    """The live checkpoint, else the numbered one, for each volume (here: each block)."""
-    m = fx.blockmap(spark, d)
-    live, numbered = m.where("block % 3 = 0").select("block", "object_id"), m.select("block", "object_id")
-    return log.overlay(live, numbered, ["block"], "object_id").select("block", "object_id", F.when(F.col("from_first"), "live").otherwise("numbered").alias("source"))
-
-
-@query("flat_decode", "WITH lay AS (SELECT DISTINCT CAST(event_id%3 AS BIGINT) AS depth, user_id AS block FROM events WHERE (event_id%3=0 AND user_id%4=0) OR (event_id%3=1 AND user_id%2=0) OR event_id%3=2) SELECT min(depth) AS depth, block, block * 3 AS object_id, block * 16 AS object_offset, block + 1 AS seq FROM lay GROUP BY block")
-def flat_decode(spark, d):
-    """Encode each source's section of a flattened clone and read it back."""
-    from ledgerstone.operators.snapshots import flatten
-
-    f = flatten(fx.layers(spark, d)).select("depth", "block", (F.col("block") * 3).alias("o"), (F.col("block") * 16).alias("f"), (F.col("block") + 1).alias("s"))
-    rec = codec.map_record(F.col("block"), F.col("o"), F.col("f"), F.col("s"))
-    body = chunks.assemble(f.select("depth", F.col("block").alias("slot"), rec.alias("data")), ["depth"])
-    return codec.decode_map(body.select("depth", F.concat(codec.map_header(F.lit(NOW)), "body").alias("content")), ["depth"])
-
-
-@query("import_nonzero_blocks", f"WITH {WAL}, img AS (SELECT seq, block, {DATA} AS data FROM wal) SELECT block, {B('floor(block/4096.0)')} AS batch, data FROM img WHERE seq <= 256 AND data <> repeat('00', 16)")
-def import_nonzero_blocks(spark, d):
-    """A disk image of 256 blocks, split again; blocks of zeros are not imported."""
-    r = records(spark, d).where("seq <= 256")
-    image = chunks.assemble(r.select(F.lit(0).alias("image"), F.col("seq").alias("slot"), "data"), ["image"])
-    parts = image.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.length("body") / SMALL).cast("int") - 1), lambda i: F.substring(F.col("body"), i * SMALL + 1, F.lit(SMALL)))).alias("i", "data"))
-    kept = parts.where(F.col("data") != F.unhex(F.lit("00" * SMALL))).join(r.select("seq", "block"), F.col("i") + 1 == F.col("seq"))
-    return hexed(kept.select("block", div(F.col("block"), 4096).alias("batch"), "data"), "data")
+    """A decoded map must have as many blocks as its snapshot says; here that is checked on the whole of it."""
+    m = codec.decode_map(checkpoints(spark, d), [])
+    n = fx.blockmap(spark, d).agg(F.count(F.lit(1)).alias("declared")).crossJoin(m.agg(F.sum("num_blocks").alias("found")))  # one row each
+    right = F.when(F.col("declared") == F.col("found"), F.col("block")).otherwise(F.raise_error(F.lit("block count")).cast("long"))
+    return extents.coalesce(m.crossJoin(F.broadcast(n)).withColumn("block", right), fx.BLOCK, fx.HEADER)
 
 
-both("import_progress", f"WITH {WAL} SELECT {B('floor(seq*100/1000.0)')} AS pct, min(seq) AS first_block FROM wal WHERE seq <= 1000 GROUP BY {B('floor(seq*100/1000.0)')}")
-
-
-@query("import_log_nonzero_blocks", f"WITH {WAL}, img AS (SELECT seq, block, {DATA} AS data FROM wal) SELECT block, {B('floor(block/4096.0)')} AS batch, data FROM img WHERE data <> repeat('00', 16)")
-def import_log_nonzero_blocks(spark, d):
-    """The whole log, an image a drain, split again; blocks of zeros are not imported."""
-    r = records(spark, d)
-    image = chunks.assemble(r.select("gen", F.col("seq").alias("slot"), "data"), ["gen"])
-    blocks = r.groupBy("gen").agg(F.array_sort(F.collect_list(F.struct("seq", "block"))).alias("blocks"))
-    cut = F.transform(F.col("blocks"), lambda x, i: F.struct(x["block"].alias("block"), F.substring(F.col("body"), i * SMALL + 1, F.lit(SMALL)).alias("data")))
-    kept = image.join(blocks, "gen").select(F.inline(cut)).where(F.col("data") != F.unhex(F.lit("00" * SMALL)))
-    return hexed(kept.select("block", div(F.col("block"), 4096).alias("batch"), "data"), "data")
-
-
-both("import_log_progress", f"WITH {WAL}, r AS (SELECT seq, seq*100 AS part, (SELECT count(*) FROM wal) AS n FROM wal) SELECT {B('(part - part % n) / n')} AS pct, min(seq) AS first_block FROM r GROUP BY {B('(part - part % n) / n')}")
-
 # ---- metadata -------------------------------------------------------------------------------
 
 
@@ -292,11 +214,6 @@ def nonce_unique(spark, d):
     return fx.wal(spark, d).groupBy(iv).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("volume_id", "SELECT c_custkey AS id, concat('vol-', substring(sha256(concat('vol-', c_name)), 1, 17)) AS volume_id FROM customer")
-def volume_id(spark, d):
-    return fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), crypto.volume_id("vol", F.col("c_name")).alias("volume_id"))
-
-
 # ---- files and partial writes ---------------------------------------------------------------
 
 
@@ -352,34 +269,3 @@ def lru_hit_sim(spark, d):
 
     a = fx.table(spark, d, "events").select(F.col("event_id").alias("t"), F.col("user_id").alias("block"), F.col("user_id").bitwiseAND(F.lit(3)).alias("shard"))
     return a.repartition("shard").sortWithinPartitions("shard", "t").mapInArrow(simulate, "t long, block long, hit boolean")
-
-
-# ---- streams --------------------------------------------------------------------------------
-
-
-def _writes(spark, d) -> DataFrame:
-    """The log as files of one drain each, read as a stream."""
-    root = stream.scratch(spark)
-    w = fx.wal(spark, d).select("gen", "seq", "block")
-    w.repartition("gen").write.partitionBy("gen").parquet(f"{root}/in")
-    return spark.readStream.schema("seq long, block long").option("maxFilesPerTrigger", 64).parquet(f"{root}/in"), root
-
-
-@query("stream_drain", f"WITH {WAL} SELECT block, max(seq) AS seq FROM wal GROUP BY block")
-def stream_drain(spark, d):
-    writes, root = _writes(spark, d)
-    stream.drain(writes.select("seq", "block"), f"{root}/checkpoint", f"{root}/out")
-    return stream.live_map(spark, f"{root}/out")
-
-
-@query("stream_lww", f"WITH {WAL} SELECT block, max(seq) AS seq FROM wal GROUP BY block")
-def stream_lww(spark, d):
-    writes, root = _writes(spark, d)
-    return stream.running_latest(writes.select("seq", "block"), f"{root}/checkpoint", "live_" + root.rsplit("-", 1)[-1].replace("/", "_"))
-
-
-@query("stream_late_seq", f"WITH {WAL}, r AS (SELECT block, seq, max(seq) OVER (PARTITION BY block ORDER BY 10000 - seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM wal) SELECT block, seq FROM r WHERE seen IS NULL OR seq > seen")
-def stream_late_seq(spark, d):
-    """The log arrives in reverse: what is older than the block's version is late and ignored."""
-    w = fx.wal(spark, d)
-    return log.latest(w, ["block"]).select("block", "seq")

@@ -30,18 +30,11 @@ STATE = f"{BM}, st AS (SELECT c.block, c.seq, CASE WHEN c.seq = b.seq AND c.gen
 both("state_counts", f"WITH {STATE} SELECT state, count(*) AS n FROM st GROUP BY state")
 both("blocks_by_state", f"WITH {STATE} SELECT block, seq FROM st WHERE state = 'pending'")
 both("point_read_state", f"WITH {STATE} SELECT n.block, coalesce(s.state, 'empty') AS state, coalesce(s.seq, 0) AS seq FROM (SELECT c_custkey AS block FROM customer) n LEFT JOIN st s ON n.block = s.block")
-both("state_machine", f"WITH {WAL}, moves AS (SELECT block, seq, CASE WHEN event_type IN ('view', 'click') THEN 'hot' WHEN event_type = 'purchase' THEN 'pending' ELSE 'persisted' END AS state FROM wal), best AS (SELECT block, max(seq) AS seq FROM moves GROUP BY block) SELECT m.block, m.seq, m.state FROM moves m JOIN best b ON m.block = b.block AND m.seq = b.seq")
 both("wal_generations", f"WITH {WAL} SELECT gen, count(*) AS writes, min(seq) AS first_seq, max(seq) AS last_seq, count(DISTINCT block) AS blocks FROM wal GROUP BY gen")
 both("seq_windows", f"WITH {WAL} SELECT {B('ceil(seq/1024.0)*1024')} AS high_water, count(*) AS writes FROM wal GROUP BY {B('ceil(seq/1024.0)*1024')}")
 both("counters_reconcile", f"WITH {CH} SELECT max(seq) + 1 AS next_seq, greatest(max(object_id) + 1, CAST(5 AS BIGINT)) AS next_object FROM ch")
 
 
-@query("pending_bytes", f"WITH {WAL} SELECT seq, {B('sum(CASE WHEN seq % 256 = 0 THEN -255*4096 ELSE 4096 END) OVER (PARTITION BY gen ORDER BY seq)')} AS pending FROM wal")
-def pending_bytes(spark, d):
-    step = F.when(F.col("seq") % 256 == 0, -255 * BLOCK).otherwise(BLOCK)
-    return log.running(fx.wal(spark, d), step, ["gen"], ["seq"], "pending").select("seq", F.col("pending").cast("long").alias("pending"))
-
-
 both("flush_trigger_points", f"WITH {WAL}, r AS (SELECT gen, seq, row_number() OVER (PARTITION BY gen ORDER BY seq) * 4096 AS pending FROM wal) SELECT gen, seq, {B('pending')} AS pending FROM r WHERE pending % 262144 = 0")
 
 
@@ -52,16 +45,11 @@ def retire_flushed(spark, d):
 
 
 both("shard_histogram", "SELECT CAST(user_id & 15 AS BIGINT) AS shard, count(*) AS n FROM events GROUP BY CAST(user_id & 15 AS BIGINT)")
-both("wal_shard_union", " UNION ALL ".join(f"SELECT event_id + 1 AS seq, user_id AS block, CAST({s} AS BIGINT) AS shard FROM events WHERE (user_id & 15) = {s}" for s in range(16)))
-both("wal_double_open", f"WITH {WAL}, w AS (SELECT gen, block & 3 AS writer FROM wal WHERE seq % 128 = 1) SELECT gen, count(DISTINCT writer) AS writers FROM w GROUP BY gen HAVING count(DISTINCT writer) > 1")
 both("state_generations", "SELECT o_custkey AS volume, o_orderkey AS save, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS state_seq FROM orders")
 both("state_select", "WITH s AS (SELECT o_custkey AS volume, o_orderkey AS id, o_orderkey % 7 AS state_seq, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS is_local FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY state_seq DESC, is_local DESC, id) AS rn FROM s) SELECT volume, id, state_seq, CAST(is_local AS BIGINT) AS is_local FROM r WHERE rn = 1")
 both("state_restore", "SELECT o_orderkey AS volume, CASE WHEN o_orderpriority = '1-URGENT' THEN " + B("ceil((o_orderkey+1)/1048576.0)*1048576") + " ELSE o_orderkey END AS seq FROM orders")
-both("state_load_class", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'not_found' ELSE 'unavailable' END AS class FROM orders")
-both("error_classes", "SELECT event_id, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'no_space' WHEN event_type = 'error' AND event_id % 3 = 1 THEN 'not_found' WHEN event_type = 'error' THEN 'transient' ELSE 'none' END AS class, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'ENOSPC' WHEN event_type = 'error' THEN 'EIO' END AS errno FROM events")
 both("volume_size_reconcile", "SELECT c_custkey AS volume, greatest(c_custkey * 1000000, (c_custkey % 5) * 1073741824) AS size FROM customer")
 both("meta_defaults", "SELECT n_nationkey AS volume, coalesce(nullif(CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END, ''), 'unnamed') AS name, coalesce(nullif(n_regionkey, 0), 9) AS tier FROM nation")
-both("backpressure_limits", "SELECT c_custkey AS volume, greatest(CAST(16777216 AS BIGINT), least(" + B("floor(CASE WHEN c_custkey % 2 = 0 THEN 268435456 ELSE 33554432 END)") + ", " + B("floor(c_custkey*1000000/2.0)") + ")) AS high, " + B("floor(greatest(CAST(16777216 AS BIGINT), least(" + B("CASE WHEN c_custkey % 2 = 0 THEN 268435456 ELSE 33554432 END") + ", " + B("floor(c_custkey*1000000/2.0)") + "))*3/4.0)") + " AS release FROM customer")
 
 # ---- chunks and extents ---------------------------------------------------------------------
 
@@ -90,11 +78,6 @@ def extents_scan(spark, d):
     return fx.extents(spark, d).orderBy("start_block")
 
 
-@query("extent_expand", f"WITH {BM} SELECT block, object_id, object_offset FROM bm")
-def extent_expand(spark, d):
-    return extents.expand(fx.extents(spark, d), BLOCK)
-
-
 @query("extent_count", f"WITH {EXT} SELECT count(*) AS extents FROM ext")
 def extent_count(spark, d):
     return fx.extents(spark, d).agg(F.count(F.lit(1)).alias("extents"))
@@ -139,16 +122,6 @@ def block_locate(spark, d):
     return extents.lookup(probes, fx.extents(spark, d), BLOCK).join(fx.blockmap(spark, d).select("block", "seq"), "block").select("block", "seq", "object_id", "object_offset")
 
 
-@query("persisted_info", f"WITH {BM} SELECT block, object_id, object_offset, seq FROM bm WHERE block % 4 = 1")
-def persisted_info(spark, d):
-    return fx.blockmap(spark, d).where("block % 4 = 1").select("block", "object_id", "object_offset", "seq")
-
-
-@query("persisted_info_all", f"WITH {BM} SELECT block, object_id, object_offset, seq FROM bm")
-def persisted_info_all(spark, d):
-    return fx.blockmap(spark, d).select("block", "object_id", "object_offset", "seq")
-
-
 @query("persisted_load", f"WITH {BM}, new_ AS (SELECT block, seq + CASE WHEN block % 2 = 0 THEN 0 ELSE -1 END AS seq, CAST(999 AS BIGINT) AS object_id FROM bm) SELECT b.block, CASE WHEN n.seq >= b.seq THEN n.object_id ELSE b.object_id END AS object_id, greatest(n.seq, b.seq) AS seq FROM bm b JOIN new_ n ON b.block = n.block")
 def persisted_load(spark, d):
     """The single form of a load replaces a version that is equal or older."""
@@ -182,11 +155,6 @@ def req_block_slices(spark, d):
     return reads.slices(fx.requests(spark, d), BLOCK)
 
 
-@query("req_validate", f"WITH {REQ} SELECT req, CASE WHEN off > 400000 THEN 'too_large' WHEN off+len > 400000 THEN 'out_of_range' WHEN len = 0 THEN 'empty' ELSE 'ok' END AS class FROM req")
-def req_validate(spark, d):
-    return reads.validate(fx.requests(spark, d), 400_000).select("req", "class")
-
-
 @query("req_log_replay", f"WITH {SPAN}, k AS (SELECT *, CASE WHEN req % 3 = 0 THEN 'write' ELSE 'read' END AS op FROM blk) SELECT block, count(*) AS touches, {B('''sum(CASE WHEN op = 'write' THEN 1 ELSE 0 END)''')} AS writes, max(CASE WHEN op = 'write' THEN req END) AS last_write FROM k GROUP BY block")
 def req_log_replay(spark, d):
     k = reads.to_blocks(fx.requests(spark, d), BLOCK).withColumn("w", F.col("req") % 3 == 0)
@@ -200,28 +168,6 @@ def read_plan(spark, d):
     return reads.plan(extents.lookup(r, fx.extents(spark, d), BLOCK), BLOCK)
 
 
-DENSE = f"{FILES}, rq AS (SELECT CAST(substr(path, 5) AS BIGINT) AS req, start_block AS first_block, nb AS num_blocks, CAST(substr(path, 5) AS BIGINT) % 8 AS client FROM files)"
-
-
-def _dense(spark, d):
-    """Reads of whole files, in file order; eight clients take turns."""
-    return fx.files(spark, d).select(F.col("doc_id").alias("req"), F.col("start_block").alias("first_block"), F.col("nb").alias("num_blocks"), (F.col("doc_id") % 8).alias("client"))
-
-
-@query("readahead_detect", f"WITH {DENSE} SELECT req, coalesce(first_block = lag(first_block + num_blocks) OVER (PARTITION BY req - client ORDER BY req), false) AS sequential FROM rq")
-def readahead_detect(spark, d):
-    r = _dense(spark, d).withColumn("stream", F.col("req") - F.col("client"))
-    return reads.sequential(r, ["stream"]).select("req", "sequential")
-
-
-@query("readahead_plan", f"WITH {DENSE}, s AS (SELECT *, coalesce(first_block = lag(first_block + num_blocks) OVER (PARTITION BY req - client ORDER BY req), false) AS sequential FROM rq) SELECT req, first_block, CASE WHEN sequential THEN least(num_blocks + 256, 1024 - first_block % 1024, CAST(512 AS BIGINT)) ELSE num_blocks END AS fetch_blocks FROM s")
-def readahead_plan(spark, d):
-    """A sequential read goes on for up to 256 blocks, inside its chunk and half the cache."""
-    r = reads.sequential(_dense(spark, d).withColumn("stream", F.col("req") - F.col("client")), ["stream"])
-    wide = F.least(F.col("num_blocks") + 256, 1024 - F.col("first_block") % 1024, F.lit(512).cast("long"))
-    return r.select("req", "first_block", F.when(F.col("sequential"), wide).otherwise(F.col("num_blocks")).alias("fetch_blocks"))
-
-
 # ---- snapshots ------------------------------------------------------------------------------
 
 
@@ -230,12 +176,6 @@ def snap_freeze(spark, d):
     return snapshots.freeze(fx.wal(spark, d), 500)
 
 
-@query("snap_block_count", f"WITH {EXT} SELECT {B('sum(num_blocks)')} AS blocks, {B('(SELECT count(*) FROM bm)')} AS expected, sum(num_blocks) = (SELECT count(*) FROM bm) AS sound FROM ext")
-def snap_block_count(spark, d):
-    n = fx.blockmap(spark, d).count()
-    return fx.extents(spark, d).agg(F.sum("num_blocks").alias("blocks")).select("blocks", F.lit(n).cast("long").alias("expected"), (F.col("blocks") == n).alias("sound"))
-
-
 @query("snap_diff", f"WITH {WAL}, a AS (SELECT block, max(seq) AS old_seq FROM wal WHERE seq <= 500 GROUP BY block), b AS (SELECT block, max(seq) AS new_seq FROM wal GROUP BY block) SELECT block, old_seq, new_seq FROM a FULL OUTER JOIN b USING (block) WHERE old_seq IS DISTINCT FROM new_seq")
 def snap_diff(spark, d):
     """Derived, not in the reference."""
@@ -243,25 +183,12 @@ def snap_diff(spark, d):
     return snapshots.diff(snapshots.freeze(w, 500), log.latest(w, ["block"]))
 
 
-@query("cow_chain_read", f"WITH {LAYERS}, n AS (SELECT block, min(depth) AS depth FROM lay GROUP BY block) SELECT c_custkey AS block, depth, depth IS NULL AS is_zero FROM customer LEFT JOIN n ON c_custkey = n.block")
-def cow_chain_read(spark, d):
-    blocks = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("block"))
-    return snapshots.resolve(blocks, fx.layers(spark, d)).select("block", "depth", F.col("depth").isNull().alias("is_zero"))
-
-
-@query("clone_open", f"WITH {LAYERS} SELECT depth, count(*) AS blocks, min(block) AS first_block, max(block) AS last_block FROM lay GROUP BY depth")
-def clone_open(spark, d):
-    return fx.layers(spark, d).groupBy("depth").agg(F.count(F.lit(1)).alias("blocks"), F.min("block").alias("first_block"), F.max("block").alias("last_block"))
-
-
 @query("flat_layers", f"WITH {LAYERS} SELECT depth, block FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY depth) AS rn FROM lay) x WHERE rn = 1")
 def flat_layers(spark, d):
     return snapshots.flatten(fx.layers(spark, d)).select("depth", "block")
 
 
 both("lineage_closure", f"WITH RECURSIVE up AS (SELECT CAST(24 AS BIGINT) AS volume, CAST(0 AS BIGINT) AS depth UNION ALL SELECT {B('floor((volume-1)/2.0)')} AS volume, depth + 1 AS depth FROM up WHERE volume > 0) SELECT volume, depth, n_name AS name FROM up JOIN nation ON n_nationkey = volume")
-both("snap_copy", f"WITH {WAL}, snap AS (SELECT block, max(seq) AS seq FROM wal WHERE seq <= 500 GROUP BY block) SELECT 'snap-1' AS snapshot_id, block, seq FROM snap UNION ALL SELECT 'snap-2' AS snapshot_id, block, seq FROM snap")
-both("snap_copy_check", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 6 = 0 THEN 'empty_id' WHEN n_nationkey % 6 = 1 THEN 'same_id' WHEN n_regionkey = 4 THEN 'foreign' WHEN n_nationkey % 6 = 3 THEN 'exists' ELSE 'ok' END AS result FROM nation")
 
 # ---- garbage --------------------------------------------------------------------------------
 
@@ -277,7 +204,7 @@ GC = f"{EXT}, bounds AS (SELECT (SELECT max(object_id) + 1 FROM ch WHERE gen < 1
 def _candidates(spark, d):
     p = fx.packed(spark, d)
     at = p.agg(F.max(F.when(F.col("gen") < 1, F.col("object_id"))).alias("floor"), F.max("object_id").alias("top")).first()
-    return gc.candidates(p, gc.refcounts(fx.extents(spark, d)), at["floor"] + 1, at["top"])
+    return gc.candidates(p, gc.refcounts(fx.extents(spark, d)), gc.floor(at["floor"]), at["top"] or 0)
 
 
 @query("gc_candidates", f"WITH {GC} SELECT object_id FROM cand")
@@ -311,13 +238,10 @@ both("gc_marker_moved", "WITH m AS (SELECT o_custkey AS volume, max(CASE WHEN o_
 
 # ---- metrics --------------------------------------------------------------------------------
 
-both("metric_backend_io", f"WITH {OPLOG} SELECT op, outcome, count(*) AS ops, {B('sum(bytes)')} AS bytes FROM ops GROUP BY op, outcome")
 both("metric_wal_ops", f"WITH {OPLOG} SELECT event_type AS phase, outcome, count(*) AS ops FROM ops GROUP BY event_type, outcome")
 both("metric_cache", f"WITH {OPLOG} SELECT volume, {B('sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)')} AS hits, count(*) AS reads FROM ops WHERE op = 'read' GROUP BY volume")
 both("cache_hits", f"WITH {WAL}, cache AS (SELECT block, seq FROM wal WHERE seq % 4 = 0), live AS (SELECT block, max(seq) AS seq FROM wal GROUP BY block) SELECT c.block, c.seq FROM cache c JOIN live l ON c.block = l.block AND c.seq = l.seq")
 both("volume_dual_open", "WITH o AS (SELECT user_id AS volume, event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS step FROM events), r AS (SELECT volume, event_id, sum(step) OVER (PARTITION BY volume ORDER BY event_id) AS engines FROM o) SELECT volume, event_id, CAST(engines AS BIGINT) AS engines FROM r WHERE engines > 1")
-both("rmw_conflicts", f"WITH {WAL}, g AS (SELECT gen, block, count(*) AS n FROM wal GROUP BY gen, block), s AS (SELECT gen, block & 15 AS shard, {B('sum(n)')} AS n, count(*) AS blocks FROM g GROUP BY gen, block & 15) SELECT s.gen, CAST(s.shard AS BIGINT) AS shard, s.n - s.blocks AS writes_again, s.blocks - 1 AS shard_collisions FROM s")
-both("flush_latency_pct", f"WITH {OPLOG}, r AS (SELECT op, bytes, row_number() OVER (PARTITION BY op ORDER BY bytes, event_id) AS rn, count(*) OVER (PARTITION BY op) AS n FROM ops) SELECT op, min(CASE WHEN rn >= n * 0.5 THEN bytes END) AS p50, min(CASE WHEN rn >= n * 0.99 THEN bytes END) AS p99 FROM r GROUP BY op")
 both("backend_full_episodes", "WITH l AS (SELECT user_id AS volume, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS full_ FROM events), g AS (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY event_id) - row_number() OVER (PARTITION BY volume, full_ ORDER BY event_id) AS island FROM l) SELECT volume, min(event_id) AS first_event, max(event_id) AS last_event, count(*) AS failures FROM g WHERE full_ = 1 GROUP BY volume, island")
 
 # ---- files ----------------------------------------------------------------------------------
