@@ -259,6 +259,27 @@ def _inside(families: DataFrame, percent: int) -> DataFrame:
     return _grouped(_dealt(families, "family", "size", BLOCK // 2, ["key", "component", "grams"]), ("family", "i", "j"), handle)
 
 
+SALTS = 64  # groups over which the rows of a heavy node are dealt
+HEAVY, MOST_HEAVY = 256, 100_000  # rows from which a node is heavy, and how many there can be
+
+
+def _with_least(edges: DataFrame, rows: int, own: bool) -> DataFrame:
+    """(u, v, m): each edge with the least v of its u, or u itself if that is less and `own`.
+
+    The least is an aggregate with map-side combine.  It goes back to the edges by a join on u, in
+    which a node with a great many edges is dealt over SALTS groups; such nodes have more than
+    rows / MOST_HEAVY edges each, so their list is short however long the table is.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    limit = max(HEAVY, rows // MOST_HEAVY)
+    heavy = F.broadcast(low.where(F.col("n") > limit).select(F.col("u").alias("heavy")))  # at most MOST_HEAVY rows
+    salt = F.when(F.col("heavy").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = edges.join(heavy, F.col("u") == F.col("heavy"), "left").select("u", "v", salt.alias("salt"))
+    each = F.explode(F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    m = F.least("m", "u") if own else F.col("m")
+    return dealt.join(low.select("u", m.alias("m"), each.alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, component): the smallest key reachable over links (a, b), a <> b, for keys that have a link."""
     spark = links.sparkSession
@@ -267,10 +288,8 @@ def components(links: DataFrame) -> DataFrame:
     rows, seen = e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        large = _with_least(both, 2 * rows, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, 2 * rows, False).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = cut(few(small, rows), "links")
         drop(e)
         e = after
@@ -313,11 +332,11 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     star = members.where("key <> hub").groupBy("key").agg(F.min("hub").alias("a")).select("a", F.col("key").alias("b"))
     links = cut(_confirm(star, sets, percent), "confirmed")
-    found = [links]
+    found, done = [links], [members, sets, links]
     # until links are joined into components, a member's centre and that one's own stand for them
     centre = links.select(F.col("b").alias("key"), F.col("a").alias("one"))
     two = links.select(F.col("b").alias("one"), F.col("a").alias("two"))
-    label = cut(centre.join(two, "one", "left").groupBy("key").agg(F.min(F.coalesce("two", "one")).alias("component")), "label")
+    label = first_label = cut(centre.join(two, "one", "left").groupBy("key").agg(F.min(F.coalesce("two", "one")).alias("component")), "label")
     joined = False
 
     def labelled(table: DataFrame) -> DataFrame:
@@ -331,6 +350,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         if best:  # likely partners share many bands: a quarter of them shows them
             left = left.where(F.col("band") < BINS // ROWS // 4)
         pairs = cut(_alike(left, percent, best).distinct(), "pairs")
+        done.append(pairs)
         if not pairs.limit(1).count():
             continue
         if best:
@@ -340,11 +360,14 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             family = family.unionByName(family.select(F.col("family").alias("key"), "family").distinct())
             size = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
             more = cut(_inside(labelled(family.join(size, "family")).join(sets, "key"), percent).distinct(), "confirmed")
+        done.append(more)
         if more.limit(1).count() or (best and not joined):
             found.append(more)
             label, joined = _all_components(found), True
     if not joined:
         label = _all_components(found)
+    for table in (*done, first_label):  # components are written: nothing reads these again
+        drop(table)
     out = sketch.select("key", "n", "h1", "h2").join(node, ["h1", "h2", "n"], "left").join(label.select(F.col("key").alias("node"), "component"), "node", "left")
     of_row = out.select("key", "n", F.coalesce("component", "node", "key").alias("of"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
