@@ -48,6 +48,18 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+def short(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes; where and what those are that need more than one."""
+    big = np.flatnonzero(counts >= 255)
+    return [np.minimum(counts, 255), big, counts[big]]
+
+
+def whole(low: np.ndarray, big: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = low.astype(np.int64)
+    out[big.astype(np.int64)] = values.astype(np.int64)
+    return out
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
     out = np.zeros_like(x)
     for _ in range(8):
@@ -212,7 +224,7 @@ def score(docs: DataFrame) -> DataFrame:
         return counts, replies
 
     def answered(table: pa.Table, kind: int, stats: np.ndarray, replies: list[list[np.ndarray]]) -> pa.Table:
-        return rows([table["p"][0].as_py()] * len(table), table["bucket"].to_pylist(), kind, [dump(stats.astype(np.float64).view(U), *x) for x in replies])
+        return rows([table["p"][0].as_py()] * len(table), table["bucket"].to_pylist(), kind, [dump(stats.astype(np.float64).view(U), *[part for counts in x for part in short(counts)]) for x in replies])
 
     def read(replies: pa.Table, kind: int) -> tuple[np.ndarray, list[dict[int, np.ndarray]]]:
         """(statistics summed over partitions, for each order the counts by partition)."""
@@ -221,8 +233,8 @@ def score(docs: DataFrame) -> DataFrame:
             if k == kind:
                 head, *got = load(blob)
                 stats.append(head.astype(U).view(np.float64))
-                out.append((p, got))
-        return np.sum(stats, 0), [{p: got[n].astype(np.int64) for p, got in out} for n in range(len(out[0][1]))]
+                out.append((p, [whole(*got[i : i + 3]) for i in range(0, len(got), 3)]))
+        return np.sum(stats, 0), [{p: got[n] for p, got in out} for n in range(len(out[0][1]))]
 
     def ask(table: pa.Table) -> pa.Table:
         return sent(table, 0, list(Grams(table).two(parts)))
