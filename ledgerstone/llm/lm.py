@@ -89,17 +89,15 @@ class Order:
 
     def __init__(self, gram: np.ndarray, valid: np.ndarray, train: np.ndarray, parts: int) -> None:
         at = np.flatnonzero(valid)
-        key, first, inverse = np.unique(gram[at], return_index=True, return_inverse=True)
-        part = ((key >> U(40)) % U(parts)).astype(np.int64)
-        key &= LOW40
-        o = np.lexsort((key, part))
-        back = np.empty(len(o), np.int64)
-        back[o] = np.arange(len(o))
-        self.key, self.first = key[o], at[first[o]]
-        self.id = np.full(len(gram), len(o))  # len(o): none
-        self.id[at] = back[inverse]
-        self.seen = np.bincount(self.id[at], train[at].astype(np.float64), len(o)).astype(np.int64)
-        self.edges = np.searchsorted(part[o], np.arange(parts + 1))
+        name = gram[at]
+        name = ((name >> U(40)) % U(parts)) << U(40) | (name & LOW40)  # one sort puts n-grams in order of partition and key
+        name, first, inverse = np.unique(name, return_index=True, return_inverse=True)
+        part = (name >> U(40)).astype(np.int64)
+        self.key, self.first = name & LOW40, at[first]
+        self.id = np.full(len(gram), len(name))  # len(name): none
+        self.id[at] = inverse
+        self.seen = np.bincount(self.id[at], train[at].astype(np.float64), len(name)).astype(np.int64)
+        self.edges = np.searchsorted(part, np.arange(parts + 1))
 
     def request(self, p: int) -> tuple[np.ndarray, np.ndarray]:
         """Steps between keys, and counts."""
