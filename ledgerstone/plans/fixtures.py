@@ -32,6 +32,28 @@ LAYERS = """lay AS (SELECT DISTINCT CAST(event_id%3 AS BIGINT) AS depth, user_id
 OPLOG = """ops AS (SELECT event_id, user_id AS volume, CASE WHEN event_type IN ('view','click') THEN 'read' ELSE 'write' END AS op, CASE WHEN event_type='error' THEN 'error' ELSE 'success' END AS outcome, CAST(round(value*100) AS BIGINT) AS bytes, event_type FROM events)"""
 
 
+def _crc_table() -> str:
+    """The 256 remainders of the reflected CRC-32 polynomial, as eight hex digits each."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(f"{n:08x}")
+    return "".join(out)
+
+
+def crc_sql(digits: str) -> str:
+    """SQL of the CRC-32 of bytes written as hex digits, byte by byte; DuckDB has no function for it."""
+    part = lambda text, at, n: f"CAST('0x' || substr({text}, {at}, {n}) AS BIGINT)"
+    step = f"xor(c >> 8, {part(repr(_crc_table()), '8 * xor(c & 255, b) + 1', 8)})"
+    return f"xor(4294967295, list_reduce(list_transform(range(0, length({digits}) // 2), lambda i: {part(digits, '2 * i + 1', 2)}), lambda c, b: {step}, CAST(4294967295 AS BIGINT)))"
+
+
+def be_sql(value: str, width: int) -> str:
+    """SQL of the hex digits of a whole number in so many bytes."""
+    return f"lpad(lower(to_hex({value})), {2 * width}, '0')"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

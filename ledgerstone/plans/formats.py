@@ -61,8 +61,15 @@ def hexed(df: DataFrame, *cols: str) -> DataFrame:
 
 DATA = "CASE WHEN block % 7 = 0 THEN repeat('00', 16) ELSE substr(sha256(concat(CAST(block AS VARCHAR), '/', CAST(seq AS VARCHAR))), 1, 32) END"
 
+# The same logs and maps, written down in SQL as hex digits.
+WAL_HEX = f"""{WAL}, head AS (SELECT gen, block, seq, concat({fx.be_sql('seq', 8)}, {fx.be_sql('block', 8)}, {fx.be_sql('16', 8)}) AS head, {DATA} AS data FROM wal),
+sum_ AS (SELECT *, concat(head, data) AS whole FROM head),
+rec AS (SELECT *, concat(head, {fx.be_sql(fx.crc_sql('whole'), 4)}, data) AS rec FROM sum_)"""
+MAP_HEX = f"""{BM}, body AS (SELECT object_id // 64 AS part, block, concat({fx.be_sql('block', 8)}, '0001', {fx.be_sql('object_id', 8)}, {fx.be_sql('object_offset', 4)}, {fx.be_sql('seq', 8)}) AS body FROM bm),
+rec AS (SELECT *, concat(body, {fx.be_sql(fx.crc_sql('body'), 4)}) AS rec FROM body)"""
 
-@query("wal_encode")
+
+@query("wal_encode", f"WITH {WAL_HEX} SELECT gen, block % 16 AS shard, concat('{codec.WAL_MAGIC.hex()}000100000010', {fx.be_sql(str(NOW), 8)}, string_agg(rec, '' ORDER BY seq)) AS content FROM rec GROUP BY gen, block % 16")
 def wal_encode(spark, d):
     return hexed(encoded(spark, d), "content")
 
@@ -120,7 +127,7 @@ def checkpoints(spark, d) -> DataFrame:
     return chunks.assemble(slots, ["part"]).select("part", F.concat(codec.map_header(F.lit(NOW)), "body").alias("content"))
 
 
-@query("ckpt_encode")
+@query("ckpt_encode", f"WITH {MAP_HEX} SELECT part, concat('{codec.MAP_MAGIC.hex()}0001', {fx.be_sql(str(NOW), 8)}, string_agg(rec, '' ORDER BY block)) AS content FROM rec GROUP BY part")
 def ckpt_encode(spark, d):
     return hexed(checkpoints(spark, d), "content")
 
