@@ -76,16 +76,16 @@ def spread(rows: int, per: int = 2000, least: int = 16, most: int = 4096) -> int
     return max(least, min(most, rows // per))
 
 
-def number_within(df: DataFrame, keys: list[str], by: list[Column], order: list[Column], out: str, rows: int) -> DataFrame:
+def number_within(df: DataFrame, keys: list[str], by: Column, order: list[Column], out: str, rows: int) -> DataFrame:
     """Gapless numbers from 0 within each key, without a task that holds a whole key.
 
-    Rows of a key fall into sub-buckets by a hash of `by`; a small table of (key, sub-bucket)
+    Rows of a key fall into sub-buckets by the hash `by`; a small table of (key, sub-bucket)
     counts gives each sub-bucket its first number, and rows are only ranked inside it.
     Keys must not be null.
     """
     b = spread(rows)
     cell = [*keys, "cell_"]
-    df = df.withColumn("cell_", F.pmod(F.xxhash64(*by), F.lit(b)).cast("int"))
+    df = df.withColumn("cell_", F.pmod(by, F.lit(b)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("cell_").rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_")).select(*cell, F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("first_"))
     ranked = df.join(starts, cell).withColumn(out, F.col("first_") + F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1)

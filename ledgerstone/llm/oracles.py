@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ledgerstone.llm.sharding import Topology, grow, topology
+from ledgerstone.plans.fixtures import crc_sql
+
 # Words are runs of bytes outside 0x20 and 0x09-0x0D; lower() is kept to A-Z by translate().
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -74,3 +77,30 @@ kept AS (SELECT e.doc_id, string_agg(hex(b[gap_start + 1:gap_end - 1]), '' ORDER
 SELECT b.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
 FROM b LEFT JOIN cuts ON b.doc_id = cuts.doc_id LEFT JOIN kept ON b.doc_id = kept.doc_id
 """
+
+
+def op6(tree: Topology) -> str:
+    """The descent as one join a level with the children of the node that the level before chose; slots as number_within() deals them."""
+    number = lambda text: f"CAST('0x' || substr(sha256({text}), 1, 13) AS BIGINT)"
+    name = "coalesce(CAST(doc_id AS VARCHAR), '')"
+
+    def levels(tree: Topology, tag: str) -> str:
+        leaves = ", ".join(f"('{region}', '{region}/{rack}', '{region}/{rack}/{shard}', CAST({weight} AS DOUBLE))" for region, rack, shard, weight in tree if weight > 0)
+        out, before = [f"{tag}leaf AS (SELECT * FROM (VALUES {leaves}) t(l1, l2, l3, w))", f"{tag}0 AS (SELECT DISTINCT doc_id, '' AS l0 FROM documents)"], "''"
+        for k in (1, 2, 3):
+            out.append(f"{tag}w{k} AS (SELECT {before} AS parent, l{k} AS child, sum(w) AS w FROM {tag}leaf GROUP BY {before}, l{k})")
+            draw = f"-ln((CAST({number(f"concat({name}, '|', child)")} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE)) / w"
+            out.append(f"{tag}{k} AS (SELECT doc_id, child AS l{k} FROM (SELECT doc_id, child, row_number() OVER (PARTITION BY doc_id ORDER BY {draw}, child) AS nth FROM {tag}{k - 1} JOIN {tag}w{k} ON parent = l{k - 1}) x WHERE nth = 1)")
+            before = f"l{k}"
+        return ",\n".join([*out, f"{tag} AS (SELECT doc_id, CAST(split_part(l3, '/', 3) AS INT) AS shard FROM {tag}3)"])
+
+    return f"""WITH {levels(tree, 'old')},
+{levels(grow(tree), 'new')},
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, size, {crc_sql('h')} AS text_crc32 FROM d),
+p AS (SELECT *, {number(f"concat({name}, '|', text_crc32, '|', size)")} % greatest(16, least(4096, (SELECT count(*) FROM documents) // 2000)) AS cell FROM c)
+SELECT p.doc_id, size, text_crc32, 'key' AS law, o.shard, row_number() OVER (PARTITION BY o.shard ORDER BY cell, p.doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, g.shard AS grown_shard
+FROM p JOIN old o ON p.doc_id IS NOT DISTINCT FROM o.doc_id JOIN new g ON p.doc_id IS NOT DISTINCT FROM g.doc_id"""
+
+
+OP6 = op6(topology())

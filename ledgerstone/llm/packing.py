@@ -225,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     slots = intervals(plan(counts, capacity))
     rows = sum(counts.values())
     order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
-    ranked = number_within(table, ["length"], order, order, "rank", rows)
+    ranked = number_within(table, ["length"], F.xxhash64(*order), order, "rank", rows)
     stride = 1 + (int(slots[:, 1].max()) if len(slots) else 0)
     keys = slots[:, 0] * stride + slots[:, 1]
 

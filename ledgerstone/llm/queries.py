@@ -89,4 +89,4 @@ def _shipped(query):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_quality, op3_decontamination, op4_licenses, op5_substring_dedup, op6_sharding, op7_lm_scoring, op8_nearest, op9_suffix_dedup, op10_packing)}
-ORACLE_SQL = {"op1_minhash": oracles.OP1, "op3_decontamination": oracles.op3(WINDOW, COVERAGE, UNITS, PLAIN), "op5_substring_dedup": oracles.OP5, "op9_suffix_dedup": oracles.OP9}
+ORACLE_SQL = {"op1_minhash": oracles.OP1, "op3_decontamination": oracles.op3(WINDOW, COVERAGE, UNITS, PLAIN), "op5_substring_dedup": oracles.OP5, "op6_sharding": oracles.OP6, "op9_suffix_dedup": oracles.OP9}

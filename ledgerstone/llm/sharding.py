@@ -1,8 +1,8 @@
 """Op 6 [native]: hierarchical weighted hash tree.
 
 A topology is a list of (region, rack, shard, weight).  A row descends region, rack and shard:
-at each level every child draws -ln(u)/weight, u being a hash of the row's key and the child's
-name, and the smallest draw wins, so a child is chosen in proportion to its weight.  A draw
+at each level every child draws -ln(u)/weight, u being the first 52 bits of the SHA-256 of
+"key|child's name" (a null key is empty), and the smallest draw wins, so a child is chosen in proportion to its weight.  A draw
 depends on nothing but the key, the child and its own weight, hence a change of weights moves
 rows only from or into the subtrees whose weight changed.
 
@@ -44,6 +44,12 @@ def _levels(tree: Topology) -> list[dict[str, dict[str, float]]]:
     return levels
 
 
+def _hashed(*cols: Column) -> Column:
+    """The first 52 bits of the SHA-256 of the values, null as empty, with bars between them."""
+    name = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
+    return F.conv(F.substring(F.sha2(name, 256), 1, 13), 16, 10).cast("long")
+
+
 def shard_of(key: Column, tree: Topology) -> Column:
     """The shard that the descent ends in; plain built-in functions only."""
     node: Column = F.lit("")
@@ -51,7 +57,7 @@ def shard_of(key: Column, tree: Topology) -> Column:
         children = F.create_map(*[x for parent, below in level.items() for x in (F.lit(parent), F.array(*[F.struct(F.lit(c).alias("name"), F.lit(float(w)).alias("w")) for c, w in below.items()]))])
         draws = F.transform(
             F.element_at(children, node),
-            lambda c: F.struct((-F.log((F.shiftrightunsigned(F.xxhash64(key, c["name"]), 11).cast("double") + 0.5) / float(1 << 53)) / c["w"]).alias("draw"), c["name"].alias("name")),
+            lambda c: F.struct((-F.log((_hashed(key, c["name"]).cast("double") + 0.5) / float(1 << 52)) / c["w"]).alias("draw"), c["name"].alias("name")),
         )
         node = F.array_min(draws)["name"]
     return F.element_at(F.split(node, "/"), -1).cast("int")
@@ -69,5 +75,6 @@ def assign(docs: DataFrame, tree: Topology | None = None) -> DataFrame:
     rows = docs.count()
     d = docs.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     d = d.select("*", F.lit("key").alias("law"), shard_of(F.col("doc_id"), tree).alias("shard"), shard_of(F.col("doc_id"), grow(tree)).alias("grown_shard"))
-    d = number_within(d, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", rows)
+    order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    d = number_within(d, ["shard"], _hashed(*order), order, "slot", rows)
     return d.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -1,11 +1,13 @@
 """Operators over documents: against plain versions, on the small tables and on awkward rows."""
 
+import hashlib
 import random
 import zlib
 
 import brute
 import numpy as np
 import pytest
+from compare import differs
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import decontaminate, licenses, lm, near_dedup, packing, quality, queries, sharding, substring_dedup, suffix_dedup
@@ -102,8 +104,6 @@ def test_lm_automaton(spark, small, monkeypatch):
 
 
 def test_sharding(spark, docs):
-    import xxhash
-
     rows = sharding.assign(frame(spark, docs)).collect()
     assert len(rows) == len(docs)
     text = dict(docs)
@@ -118,8 +118,7 @@ def test_sharding(spark, docs):
                 if full[:level] == path:
                     name = "/".join(full[: level + 1])
                     kids[name] = kids.get(name, 0) + w
-            seed = xxhash.xxh64(int(d).to_bytes(8, "little", signed=True), 42).intdigest()
-            draw = {n: -np.log(((xxhash.xxh64(n.encode(), seed).intdigest() >> 11) + 0.5) / 2**53) / w for n, w in kids.items()}
+            draw = {n: -np.log((int(hashlib.sha256(f"{d}|{n}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w for n, w in kids.items()}
             path = min(draw, key=lambda n: (draw[n], n)).split("/")
         return int(path[-1])
 
@@ -133,6 +132,10 @@ def test_sharding(spark, docs):
         assert slots == list(range(len(slots)))
 
 
+def test_sharding_matches_sql(spark, sf_dir):
+    assert differs(spark, "op6_sharding", queries.QUERIES["op6_sharding"], queries.ORACLE_SQL["op6_sharding"], sf_dir) is None
+
+
 def test_sharding_confines_movement(spark):
     """A shard of more weight takes rows; nothing moves between subtrees whose weights stay."""
     tree = sharding.topology()
