@@ -21,16 +21,18 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerstone.llm.blocks import U, Rolling, _lowered, _space, chunks
+from ledgerstone.llm.blocks import U, Rolling, _lowered, _space, chunks, tidy
 from ledgerstone.llm.common import cut, drop
 
 LABELLED, FIT_BYTES, ROW_FEATURES = 10_000, 48 << 20, 20_000
 ROUNDS, SURE, SHARE, PICKS = 3, 0.97, 0.1, 400
 FOLDS = 5  # one of so many labelled rows calibrates
 TEXT_BITS, META_BITS = 20, 12
+PART = 1 << 18  # features that one step of the fit looks at
 STEMS, MANY = (5, 7), 3  # bytes of a word's beginning; times from which a feature counts again
 APART = 4.5
 THRESHOLD = 0.5
@@ -116,13 +118,17 @@ class Model:
 
     def fit(self, row, col, y, weight, apart: float = 0.0, rounds: int = 120, rate: float = 0.3, l2: float = 1e-5) -> Model:
         """apart: features whose share of good and of bad rows differs by fewer standard errors are left out."""
-        n = len(y)
-        good, n1 = np.bincount(col[(y > 0)[row]], minlength=len(self.w)), max(1.0, y.sum())
-        bad, n0 = np.bincount(col, minlength=len(self.w)) - good, max(1.0, n - y.sum())
+        n, parts = len(y), [slice(i, i + PART) for i in range(0, len(row), PART)]
+        good, bad = np.zeros(len(self.w), np.int64), np.zeros(len(self.w), np.int64)
+        for s in parts:
+            yes = (y > 0)[row[s]]
+            good += np.bincount(col[s][yes], minlength=len(self.w))
+            bad += np.bincount(col[s][~yes], minlength=len(self.w))
+        n1, n0 = max(1.0, y.sum()), max(1.0, n - y.sum())
         p = np.clip((good + bad) / max(1, n), 1e-12, 1 - 1e-12)
         z = (good / n1 - bad / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-        keep = ((np.abs(z) >= apart) & (good + bad > 0))[col]
-        row, col = row[keep], col[keep]
+        wanted = (np.abs(z) >= apart) & (good + bad > 0)
+        row, col = _kept(row, col, lambda r, c: wanted[c])
         ids, at = np.unique(col, return_inverse=True)
         w, g2, b, b2 = np.zeros(len(ids)), np.full(len(ids), 1e-8), 0.0, 1e-8
         for _ in range(rounds):
@@ -153,12 +159,26 @@ def _platt(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
+def _kept(row: np.ndarray, col: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs for which keep(row, col) is true, in their order; no mask or copy of all of them at once."""
+    got = []
+    for i in range(0, len(row), PART):
+        r, c = row[i : i + PART], col[i : i + PART]
+        mask = keep(r, c)
+        got.append((r[mask], c[mask]))
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (row, col)
+
+
 def _pick(row, col, chosen: np.ndarray, n: int):
     """The features of some rows, in their order."""
     new = np.full(n, -1, np.int32)
     new[chosen] = np.arange(len(chosen))
-    keep = (new >= 0)[row]
-    return new[row[keep]], col[keep]
+    if len(chosen) == n:
+        return row, col
+    row, col = _kept(row, col, lambda r, c: (new >= 0)[r])
+    for i in range(0, len(row), PART):
+        row[i : i + PART] = new[row[i : i + PART]]
+    return row, col
 
 
 def held_rows(label: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +274,19 @@ def _gather(docs: DataFrame) -> tuple[tuple, np.ndarray, list[int]]:
     got = table.select("doc_id", "text", "meta").toArrow()
     drop(table)
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("meta", "ascending")])
-    parts = [np.frombuffer(x, np.int32) for x in got["text"].to_pylist()]
-    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
-    col = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    meta = np.array([np.frombuffer(x, np.int16) for x in got["meta"].to_pylist()], np.int64).reshape(len(parts), -1) if parts else np.zeros((0, 8), np.int64)
-    return (row, col), meta, got["doc_id"].to_pylist()
+    n = len(got)
+    sizes = pc.binary_length(got["text"]).to_numpy() // 4
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    col, at = np.empty(len(row), np.int32), 0
+    for x in got["text"]:
+        part = np.frombuffer(x.as_buffer(), np.int32)
+        col[at : at + len(part)] = part
+        at += len(part)
+    meta = np.array([np.frombuffer(x, np.int16) for x in got["meta"].to_pylist()], np.int64).reshape(n, -1) if n else np.zeros((0, 8), np.int64)
+    ids = got["doc_id"].to_pylist()
+    del got
+    tidy()
+    return (row, col), meta, ids
 
 
 def _both_views(docs: DataFrame, known: DataFrame, models: list[Model]) -> list[dict[int, int]]:
@@ -304,6 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame):
         return None
     for _ in range(ROUNDS):
         views.fit()
+        tidy()
         sure = _both_views(d, known, views.models)
         if not views.exchange(sure):
             break
@@ -311,7 +340,10 @@ def fit(docs: DataFrame, labels: DataFrame):
         if new:
             views.more(*some(new))
     views.fit()
-    return views.calibrated()
+    fitted = views.calibrated()
+    del views
+    tidy()
+    return fitted
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
