@@ -12,8 +12,10 @@ then to find the families whose members no signature rules out, and inside a fam
 of different components are compared on their full sets, in blocks.  No bucket is capped, a
 bucket whose star holds costs one link a member, and only joining links become rows.
 
-Documents with equal shingle sets are one node from the start.  Components are found by
-alternating large-star and small-star steps over written tables.
+Documents with equal shingle sets are one node from the start.  Components of more than LOCAL
+links are found by alternating large-star and small-star steps over written tables, and those of
+fewer, or of what the steps leave once it is fewer, in one task: the steps are a dozen exchanges
+a round, whatever the size, and their plans and threads stay in the driver for a while.
 """
 
 from __future__ import annotations
@@ -259,6 +261,7 @@ def _inside(families: DataFrame, percent: int) -> DataFrame:
     return _grouped(_dealt(families, "family", "size", BLOCK // 2, ["key", "component", "grams"]), ("family", "i", "j"), handle)
 
 
+LOCAL = 1_000_000  # links that one task joins: 16 MB of keys
 SALTS = 64  # groups over which the rows of a heavy node are dealt
 HEAVY, MOST_HEAVY = 256, 100_000  # rows from which a node is heavy, and how many there can be
 
@@ -280,13 +283,48 @@ def _with_least(edges: DataFrame, rows: int, own: bool) -> DataFrame:
     return dealt.join(low.select("u", m.alias("m"), each.alias("salt")), ["u", "salt"]).select("u", "v", "m")
 
 
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the nodes 0 to n - 1 that each reaches over links (a, b).
+
+    Roots hang themselves below the least neighbouring root; two rounds leave at most half of them.
+    """
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return root
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(u, v): each key of at most LOCAL links (u, v) with the smallest it reaches, if that is another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        u, v = (np.concatenate(x) for x in zip((none, none), *((b["u"].to_numpy(), b["v"].to_numpy()) for b in batches), strict=True))
+        key, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = roots(at[: len(u)], at[len(u) :], len(key))
+        moved = np.flatnonzero(root != np.arange(len(key)))
+        yield pa.RecordBatch.from_arrays([pa.array(key[moved]), pa.array(key[root[moved]])], ["u", "v"])
+
+    return links.coalesce(1).mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(key, component): the smallest key reachable over links (a, b), a <> b, for keys that have a link."""
+    """(key, component): the smallest key reachable over links (a, b), a <> b, for keys that have a link.
+
+    links: a written table, or a union of such; it is read more than once.
+    """
     spark = links.sparkSession
     few = lambda df, n: df.coalesce(max(8, min(width(spark), n // 50_000)))  # noqa: E731  no flood of tiny files
-    e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     rows, seen = e.count(), None
-    while True:
+    if rows > LOCAL:
+        e = cut(e.distinct(), "links")
+        rows = e.count()
+    while rows > LOCAL:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both, 2 * rows, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _with_least(large, 2 * rows, False).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
@@ -296,8 +334,13 @@ def components(links: DataFrame) -> DataFrame:
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         rows = now["n"]
         if now == seen:  # a whole round changed nothing: all are stars
-            return e.select(F.col("u").alias("key"), F.col("v").alias("component"))
+            break
         seen = now
+    else:
+        after = cut(_joined(e), "links")
+        drop(e)
+        e = after
+    return e.select(F.col("u").alias("key"), F.col("v").alias("component"))
 
 
 def _all_components(found: list[DataFrame]) -> DataFrame:

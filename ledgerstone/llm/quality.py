@@ -112,29 +112,50 @@ class Model:
         self.w = np.zeros(n)
         self.w[at] = w
 
-    def logits(self, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
+    def sums(self, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
         used = (self.w != 0)[col]
-        return np.bincount(row[used], self.w[col[used]], n) + self.bias
-
-    def fit(self, row, col, y, weight, apart: float = 0.0, rounds: int = 120, rate: float = 0.3, l2: float = 1e-5) -> Model:
-        """apart: features whose share of good and of bad rows differs by fewer standard errors are left out."""
-        n, parts = len(y), [slice(i, i + PART) for i in range(0, len(row), PART)]
-        good, bad = np.zeros(len(self.w), np.int64), np.zeros(len(self.w), np.int64)
-        for s in parts:
-            yes = (y > 0)[row[s]]
-            good += np.bincount(col[s][yes], minlength=len(self.w))
-            bad += np.bincount(col[s][~yes], minlength=len(self.w))
+        return np.bincount(row[used], self.w[col[used]], n)
+
+    def logits(self, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
+        return self.sums(row, col, n) + self.bias
+
+    def fit(self, row, col, y, weight, apart: float = 0.0, **how) -> Model:
+        return self.fit_parts(lambda: _slices(row, col), y, weight, apart, **how)
+
+    def fit_parts(self, parts, y, weight, apart: float = 0.0, rounds: int = 120, rate: float = 0.3, l2: float = 1e-5) -> Model:
+        """parts(): (row, feature) arrays, in the order of rows; they are gone through twice, and only what is fitted on is held.
+
+        apart: features whose share of good and of bad rows differs by fewer standard errors are left out.
+        """
+        n, size = len(y), len(self.w)
+        good, bad = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        for r, c in parts():
+            yes = (y > 0)[r]
+            np.add.at(good, c[yes], 1)
+            np.add.at(bad, c[~yes], 1)
         n1, n0 = max(1.0, y.sum()), max(1.0, n - y.sum())
-        p = np.clip((good + bad) / max(1, n), 1e-12, 1 - 1e-12)
-        z = (good / n1 - bad / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-        wanted = (np.abs(z) >= apart) & (good + bad > 0)
-        row, col = _kept(row, col, lambda r, c: wanted[c])
-        ids, at = np.unique(col, return_inverse=True)
+        wanted = np.zeros(size, bool)
+        for s in (slice(i, i + PART) for i in range(0, size, PART)):
+            p = np.clip((good[s] + bad[s]) / max(1, n), 1e-12, 1 - 1e-12)
+            z = (good[s] / n1 - bad[s] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+            wanted[s] = (np.abs(z) >= apart) & (good[s] + bad[s] > 0)
+        count = int((good[wanted].astype(np.int64) + bad[wanted]).sum())
+        ids, number = np.flatnonzero(wanted), np.cumsum(wanted, dtype=np.int32) - np.int32(1)
+        del good, bad
+        row, at, end = np.empty(count, np.int32), np.empty(count, np.int32), 0
+        for r, c in parts():
+            keep = wanted[c]
+            begin, end = end, end + int(keep.sum())
+            row[begin:end], at[begin:end] = r[keep], number[c[keep]]
         w, g2, b, b2 = np.zeros(len(ids)), np.full(len(ids), 1e-8), 0.0, 1e-8
         for _ in range(rounds):
-            p = _probability(np.bincount(row, w[at], n) + b)
-            e = (p - y) * weight / n
-            g = np.bincount(at, e[row], len(ids)) + l2 * w / n
+            x, g = np.zeros(n), np.zeros(len(ids))
+            for r, k in _slices(row, at):
+                np.add.at(x, r, w[k])
+            e = (_probability(x + b) - y) * weight / n
+            for r, k in _slices(row, at):
+                np.add.at(g, k, e[r])
+            g += l2 * w / n
             g2 += g * g
             w -= rate * g / np.sqrt(g2)
             b2 += e.sum() ** 2
@@ -159,26 +180,10 @@ def _platt(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
-def _kept(row: np.ndarray, col: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs for which keep(row, col) is true, in their order; no mask or copy of all of them at once."""
-    got = []
-    for i in range(0, len(row), PART):
-        r, c = row[i : i + PART], col[i : i + PART]
-        mask = keep(r, c)
-        got.append((r[mask], c[mask]))
-    return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else (row, col)
-
-
-def _pick(row, col, chosen: np.ndarray, n: int):
-    """The features of some rows, in their order."""
-    new = np.full(n, -1, np.int32)
-    new[chosen] = np.arange(len(chosen))
-    if len(chosen) == n:
-        return row, col
-    row, col = _kept(row, col, lambda r, c: (new >= 0)[r])
+def _slices(row: np.ndarray, col: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs some at a time: no mask or copy of all of them at once."""
     for i in range(0, len(row), PART):
-        row[i : i + PART] = new[row[i : i + PART]]
-    return row, col
+        yield row[i : i + PART], col[i : i + PART]
 
 
 def held_rows(label: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,20 +210,31 @@ class Views:
 
     def __init__(self, text: tuple, meta: np.ndarray, ids: list[int], good: dict[int, int]) -> None:
         self.good, self.given = good, [{}, {}]
-        self.row, self.col, self.meta, self.ids = *text, meta, ids
+        self.text, self.meta, self.ids = [text], meta, ids  # text: pieces of (number of features of each row, features)
         self.models = [Model(TEXT_BITS), Model(META_BITS)]
 
     def more(self, text: tuple, meta: np.ndarray, ids: list[int]) -> None:
-        self.row, self.col = np.append(self.row, text[0] + len(self.ids)), np.append(self.col, text[1])
-        self.meta, self.ids = np.concatenate([self.meta, meta]), [*self.ids, *ids]
+        self.text, self.meta, self.ids = [*self.text, text], np.concatenate([self.meta, meta]), [*self.ids, *ids]
 
     def label(self) -> np.ndarray:
         return np.array([self.good.get(x, -1) for x in self.ids], np.int64)
 
-    def features(self, view: int) -> tuple[np.ndarray, np.ndarray]:
-        if view == 0:
-            return self.row, self.col
-        return np.repeat(np.arange(len(self.ids)), self.meta.shape[1]), self.meta.reshape(-1)
+    def parts(self, view: int, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, feature) arrays of some rows, numbered among them: some PART features at a time, in order."""
+        if view == 1:
+            yield from _slices(np.repeat(np.arange(len(rows)), self.meta.shape[1]), self.meta[rows].reshape(-1))
+            return
+        new = np.full(len(self.ids), -1, np.int32)
+        new[rows] = np.arange(len(rows))
+        base = 0
+        for counts, col in self.text:
+            at, lo = np.append(0, np.cumsum(counts)), 0
+            while lo < len(counts):
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PART, "right")) - 1)
+                row = np.repeat(new[base + lo : base + hi], counts[lo:hi])
+                yield row[row >= 0], col[at[lo] : at[hi]][row >= 0]
+                lo = hi
+            base += len(counts)
 
     def fit(self) -> None:
         label = self.label()
@@ -227,7 +243,7 @@ class Views:
             y = np.where(used, label, np.array([given.get(x, -1) for x in self.ids], np.int64))
             rows = np.flatnonzero((y >= 0) & (used | (label < 0)))
             y = y[rows].astype(float)
-            model.fit(*_pick(*self.features(view), rows, len(self.ids)), y, _balance(y), apart)
+            model.fit_parts(lambda view=view, rows=rows: self.parts(view, rows), y, _balance(y), apart)
 
     def exchange(self, sure: list[dict[int, int]]) -> bool:
         """Give each view what the other is sure of; whether that is anything new."""
@@ -240,7 +256,7 @@ class Views:
         label = self.label()
         test = np.flatnonzero(held_rows(label, self.ids)[0])
         y = label[test].astype(float)
-        logits = np.column_stack([m.logits(*self.features(view), len(self.ids))[test] for view, m in enumerate(self.models)])
+        logits = np.column_stack([sum((m.sums(r, c, len(test)) for r, c in self.parts(view, test)), np.zeros(len(test))) + m.bias for view, m in enumerate(self.models)])
         each = [_platt(logits[:, [k]], y) for k in (0, 1)]
         both = _platt(np.column_stack([logits[:, k] * each[k][0] + each[k][1] for k in (0, 1)]), y)
         return *self.models, *each, both
@@ -256,7 +272,7 @@ def surest(strength: list[tuple[float, int, int]], most: int) -> list[int]:
 
 
 def _gather(docs: DataFrame) -> tuple[tuple, np.ndarray, list[int]]:
-    """Features and ids of a bounded set of documents, on the driver: those with the smallest hashes of doc_id, FIT_BYTES in all."""
+    """((features of each, features), metadata, ids) of a bounded set of documents, on the driver: those with the smallest hashes of doc_id, FIT_BYTES in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,20 +289,18 @@ def _gather(docs: DataFrame) -> tuple[tuple, np.ndarray, list[int]]:
         table = table.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("doc_id") <= last["doc_id"])))
     got = table.select("doc_id", "text", "meta").toArrow()
     drop(table)
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("meta", "ascending")])
-    n = len(got)
-    sizes = pc.binary_length(got["text"]).to_numpy() // 4
-    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    col, at = np.empty(len(row), np.int32), 0
-    for x in got["text"]:
-        part = np.frombuffer(x.as_buffer(), np.int32)
-        col[at : at + len(part)] = part
-        at += len(part)
-    meta = np.array([np.frombuffer(x, np.int16) for x in got["meta"].to_pylist()], np.int64).reshape(n, -1) if n else np.zeros((0, 8), np.int64)
-    ids = got["doc_id"].to_pylist()
-    del got
+    order = pc.sort_indices(got, sort_keys=[("doc_id", "ascending"), ("text", "ascending"), ("meta", "ascending")]).to_numpy()
+    n, texts = len(got), got["text"]
+    counts = pc.binary_length(texts).to_numpy()[order].astype(np.int64) // 4
+    col, at = np.empty(int(counts.sum()), np.int32), 0
+    for i, size in zip(order.tolist(), counts.tolist(), strict=True):
+        col[at : at + size] = np.frombuffer(texts[i].as_buffer(), np.int32)
+        at += size
+    meta = np.array([np.frombuffer(x, np.int16) for x in got["meta"].to_pylist()], np.int64).reshape(n, -1)[order] if n else np.zeros((0, 8), np.int64)
+    ids = got["doc_id"].take(pa.array(order)).to_pylist()
+    del got, texts
     tidy()
-    return (row, col), meta, ids
+    return (counts, col), meta, ids
 
 
 def _both_views(docs: DataFrame, known: DataFrame, models: list[Model]) -> list[dict[int, int]]:

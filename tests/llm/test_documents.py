@@ -11,6 +11,7 @@ from compare import differs
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import decontaminate, licenses, lm, near_dedup, packing, quality, queries, sharding, substring_dedup, suffix_dedup
+from ledgerstone.llm.repeats import NO_ID
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, key int, p string, h double, component string, doc string"
 
@@ -57,6 +58,30 @@ def test_near_dedup(spark, docs):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_components(spark, tmp_path, monkeypatch):
+    rng = random.Random(11)
+    path = list(range(60))
+    rng.shuffle(path)
+    links = [*zip(path, path[1:], strict=False), *((-5, 1000 + i) for i in range(400)), *((rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)), (7_000, 7_000), (NO_ID, 8_000), (8_000, NO_ID)]
+    least = {x: x for pair in links for x in pair}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    want = {k: v for k, v in least.items() if k != v}
+    spark.createDataFrame(links, "a long, b long").repartition(3).write.parquet(str(tmp_path / "links"))
+    table = spark.read.parquet(str(tmp_path / "links"))
+    sc, jobs = spark.sparkContext, {}
+    for limit in (near_dedup.LOCAL, 500, 0):  # in one task, some steps first, steps alone
+        monkeypatch.setattr(near_dedup, "LOCAL", limit)
+        sc.setJobGroup(f"components {limit}", "")
+        got = [(r["key"], r["component"]) for r in near_dedup.components(table).collect()]
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs[limit] = len(sc.statusTracker().getJobIdsForGroup(f"components {limit}"))
+        assert dict(got) == want and len(got) == len(want), limit
+    assert min(jobs, key=jobs.get) == max(jobs) and jobs[max(jobs)] <= 4, jobs  # plans stay in the driver: few links, few jobs
+    assert not near_dedup.components(table.limit(0)).count()
+
+
 def test_substring_dedup(spark, docs):
     got = substring_dedup.dedup(frame(spark, docs)).collect()
     assert sorted(map(tuple, got)) == sorted(brute.word_dedup(docs))
@@ -380,6 +405,34 @@ def test_quality_against_plain_cotraining(spark, sf_dir):
     assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6
 
 
+def test_quality_fit_holds_no_copies():
+    """Pieces of rows give the model of flat arrays, in a small part of their memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    counts = [rng.integers(0, 9000, n) for n in (1200, 300)]
+    text = [(c, (rng.integers(0, 1 << 20, int(c.sum())) // rng.integers(1, 5000, int(c.sum()))).astype(np.int32)) for c in counts]
+    good = {i: int(rng.random() < 0.6) for i in range(0, 1200, 2)}
+    meta = [rng.integers(0, 1 << 12, (len(c), 8)) for c in counts]
+    views = quality.Views(text[0], meta[0], list(range(1200)), good)
+    views.more(text[1], meta[1], list(range(1200, 1500)))
+    views.exchange([{1: 1, 1203: 0}, {5: 0, 1400: 1}])
+    tracemalloc.start()
+    views.fit()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * sum(len(c) for _, c in text) + 16e6, peak  # less than one more copy, and a table of the weights twice
+    row, col = np.repeat(np.arange(1500), np.concatenate(counts)), np.concatenate([c for _, c in text])
+    for k, (r, c, apart) in enumerate(((row, col, quality.APART), (np.repeat(np.arange(1500), 8), np.concatenate(meta).reshape(-1), 0.0))):
+        label = np.array([views.given[k].get(i, -1) if i not in good else good[i] for i in range(1500)])
+        rows = np.flatnonzero((label >= 0) & ~quality.held_rows(views.label(), views.ids)[0])
+        new = np.full(1500, -1)
+        new[rows] = np.arange(len(rows))
+        y, kept = label[rows].astype(float), new[r] >= 0
+        plain = quality.Model((quality.TEXT_BITS, quality.META_BITS)[k]).fit(new[r][kept], c[kept], y, quality._balance(y), apart)
+        assert (plain.w == views.models[k].w).all() and plain.w.any() and plain.bias == views.models[k].bias
+
+
 def test_quality_of_awkward_tables(spark, sf_dir):
     l = spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet")
     assert quality.score(frame(spark, []), l).count() == 0
